@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words; everything else is part of a word.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: What a Python function gets at once, so that its memory doesn't follow Spark's batches of rows.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +42,14 @@ def bounded_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with state made once per task: `make()` returns the function of a batch."""
+    """mapInArrow with state made once per task: `make()` returns the function of a batch, which has about BATCH_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            if b.num_rows:
-                yield f(b)
+            step = max(1, b.num_rows * BATCH_BYTES // max(1, b.nbytes))
+            for i in range(0, b.num_rows, step):
+                yield f(b.slice(i, step))
 
     return df.mapInArrow(run, schema)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, pii, secrets, token_counts, transport
+from tessella.llm import bpe, mixing, pii, quality, secrets, token_counts, transport
 from tessella.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op3_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), pattern())
 
@@ -40,14 +44,18 @@ def op7_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii_semi_markov, op3_transport_streams, op5_bpe_merge_replay, op7_secret_automata, op9_token_counts)}
+    return {f.__name__: f for f in (op2_pii_semi_markov, op3_transport_streams, op4_robust_quality, op5_bpe_merge_replay, op7_secret_automata, op8_source_mix, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_source_mix": mixing.ORACLE}
