@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from tessella.llm.common import map_batches
 
 #: Distinct words in each of the two generations that a task remembers, and bytes of words that one replay takes at once.
 CACHE = 300_000
-REPLAY_BYTES = 4 << 20
+REPLAY_BYTES = 1 << 20
 
 
 class MergeReplay:
@@ -36,80 +37,98 @@ class MergeReplay:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.token = {r: t for t, r in self.ranks.items()}
         self.cut = regex.compile(pattern).findall
-        self.pair: dict[tuple[int, int], int] = {}
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.pair: dict[int, int] = {}
         self.packed: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def rank(self, a: int, b: int) -> int:
-        key = (a, b)
-        r = self.pair.get(key)
-        if r is None:
-            if len(self.pair) > 2_000_000:
-                self.pair.clear()
-            r = self.pair[key] = self.ranks.get(self.token[a] + self.token[b], -1)
+    def join(self, key: int) -> int:
+        """The rank of what a pair, numbered left * 2**32 + right, makes; -1 if it can't merge. Kept in `pair`."""
+        if len(self.pair) > 1_000_000:
+            self.pair.clear()
+        r = self.pair[key] = self.ranks.get(self.token[key >> 32] + self.token[key & 0xFFFFFFFF], -1)
         return r
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word."""
-        tok: list[int] = []
-        word: list[int] = []
-        starts: list[int] = []
-        for k, w in enumerate(words):
-            starts.append(len(tok))
-            tok.extend(self.ranks[w[i : i + 1]] for i in range(len(w)))
-            word.extend([k] * len(w))
+        single, pair, join = self.single, self.pair.get, self.join
+        tok = [single[b] for w in words for b in w]
         n = len(tok)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        for k, s in enumerate(starts):
-            if s < n and words[k]:
-                before[s] = -1
-                after[s + len(words[k]) - 1] = -1
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        starts, pos = [], 0
+        for w in words:
+            starts.append(pos)
+            pos += len(w)
+            if w:
+                before[starts[-1]] = after[pos - 1] = -1
         index: dict[int, list[int]] = {}
-        rank = self.rank
-        for i in range(n):
-            if after[i] >= 0 and (r := rank(tok[i], tok[after[i]])) >= 0:
-                index.setdefault(r, []).append(i)
+        for i in range(n - 1):
+            if after[i] > 0:
+                key = tok[i] << 32 | tok[i + 1]
+                r = pair(key)
+                if r is None:
+                    r = join(key)
+                if r >= 0:
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
         queue = list(index)
         heapq.heapify(queue)
-
-        def enter(r: int, at: int) -> None:
-            if r in index:
-                index[r].append(at)
-            else:
-                index[r] = [at]
-                heapq.heappush(queue, r)
-
+        push = heapq.heappush
         while queue:
             r = heapq.heappop(queue)
-            waiting: set[int] = set()
-            for i in sorted(set(index.pop(r))):
+            places = index.pop(r)
+            places.sort()
+            waiting: set[int] = set()  # starts of words in which another merge comes first
+            for i in places:
                 j = after[i]
-                if tok[i] < 0 or j < 0 or rank(tok[i], tok[j]) != r:
+                if j < 0 or tok[i] < 0:
+                    continue
+                key = tok[i] << 32 | tok[j]
+                x = pair(key)
+                if (join(key) if x is None else x) != r:
                     continue  # a neighbour has changed meanwhile
-                if word[i] in waiting:
-                    enter(r, i)
+                if waiting and starts[bisect_right(starts, i) - 1] in waiting:
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
+                        push(queue, r)
                     continue
                 tok[i], tok[j] = r, -1
                 k = after[i] = after[j]
                 if k >= 0:
                     before[k] = i
-                    if (x := rank(r, tok[k])) >= 0:
-                        enter(x, i)
+                    key = r << 32 | tok[k]
+                    x = pair(key)
+                    if x is None:
+                        x = join(key)
+                    if x >= 0:
+                        if x in index:
+                            index[x].append(i)
+                        else:
+                            index[x] = [i]
+                            push(queue, x)
                         if x <= r:
-                            waiting.add(word[i])
+                            waiting.add(starts[bisect_right(starts, i) - 1])
                 h = before[i]
-                if h >= 0 and (x := rank(tok[h], r)) >= 0:
-                    enter(x, h)
-                    if x <= r:
-                        waiting.add(word[i])
-        out = []
-        for k, s in enumerate(starts):
-            ids, i = [], s if words[k] else -1
-            while i >= 0:
-                ids.append(tok[i])
-                i = after[i]
-            out.append(ids)
+                if h >= 0:
+                    key = tok[h] << 32 | r
+                    x = pair(key)
+                    if x is None:
+                        x = join(key)
+                    if x >= 0:
+                        if x in index:
+                            index[x].append(h)
+                        else:
+                            index[x] = [h]
+                            push(queue, x)
+                        if x <= r:
+                            waiting.add(starts[bisect_right(starts, i) - 1])
+        out, starts = [], [*starts, n]
+        for k in range(len(words)):
+            out.append([t for t in tok[starts[k] : starts[k + 1]] if t >= 0])
         return out
 
     def learn(self, new: list[str]) -> None:
@@ -164,7 +183,7 @@ def replayer(path: str, pattern: str) -> MergeReplay:
     return MergeReplay(path, pattern)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "token_ids", texts_at_once: int = 2_000) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "token_ids", texts_at_once: int = 500) -> DataFrame:
     """`df` with a binary column `out`: the ids of `text_col`, packed as little-endian unsigned 32-bit integers.
 
     Null and empty texts give an empty value. All other columns, their nulls and repeated rows pass through; a column

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, mixing, pii, quality, secrets, token_counts, transport
+from tessella.llm import bpe, mixing, neardup, pii, quality, secrets, token_counts, transport
 from tessella.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op5_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), pattern())
 
 
+def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op7_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -54,8 +58,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii_semi_markov, op3_transport_streams, op4_robust_quality, op5_bpe_merge_replay, op7_secret_automata, op8_source_mix, op9_token_counts)}
+    return {f.__name__: f for f in (op2_pii_semi_markov, op3_transport_streams, op4_robust_quality, op5_bpe_merge_replay, op6_minhash_forest, op7_secret_automata, op8_source_mix, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mix": mixing.ORACLE}
+    return {"op6_minhash_forest": neardup.ORACLE, "op8_source_mix": mixing.ORACLE}
