@@ -4,9 +4,11 @@
    them) become one class, represented by its least id; everything below works on classes.
 2. The forest: TREES sorted orders of the signatures, each by DEPTH minima of its own. Classes that share the first
    LEAST_DEPTH minima of an order are a region; neighbours by longest common prefix stand next to each other in it.
-   Within a region a 2-bit sketch of all minima tells which may be similar. A region of over REGION classes goes
-   deeper: it is divided by longer prefixes into blocks, and every pair of blocks is looked at as a region of its own,
-   so none of its pairs is lost and no task gets more than two blocks.
+   Within a region a 2-bit sketch of all minima tells which may be similar. The depth adapts
+   to the region: in a sparse one all classes are compared from LEAST_DEPTH on; in one of over LAGS + 1 the neighbours
+   in sorted order, those of the deepest common prefixes, come first. One of over REGION classes would lose pairs if it
+   were cut at a deeper prefix; it is divided into blocks, and every pair of blocks is looked at as a region of its
+   own, so no task gets more than two blocks and no pair is lost.
 3. Components of these candidates are clusters. A cluster's full sets are compared in one task if it has up to CLUSTER
    classes. A larger one is divided into blocks; blocks are first compared in themselves, then every pair of blocks
    that still holds different components. Pairs that are already connected need no comparison.
