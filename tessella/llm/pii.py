@@ -393,11 +393,13 @@ def find_pii(df: DataFrame, text_col: str = "text", out: str = "pii", model: Sem
     return map_batches(df, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` {SPAN_SQL}")
 
 
-def redact(df: DataFrame, text_col: str = "text", model: SemiMarkov | None = None) -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", model: SemiMarkov | None = None) -> DataFrame:
     """`df` with every span in `text_col` replaced by its kind in angle brackets; where spans overlap, the longest
-    stands (the earlier of equals). Null texts stay null; other columns pass through.
+    stands (the earlier of equals). Null texts stay null. `chars_col`, if `df` has it, is brought up to date in changed
+    rows; other columns pass through.
     """
     at = df.columns.index(text_col)
+    size_at = df.columns.index(chars_col) if chars_col in df.columns else -1
     model = model or field()
 
     def clean(t: str | None) -> str | None:
@@ -417,7 +419,12 @@ def redact(df: DataFrame, text_col: str = "text", model: SemiMarkov | None = Non
     def make():
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             cols = list(b.columns)
-            cols[at] = pa.array(map(clean, b.column(at).to_pylist()), pa.string())
+            old = b.column(at).to_pylist()
+            new = [clean(t) for t in old]
+            cols[at] = pa.array(new, pa.string())
+            if size_at >= 0:
+                sizes = cols[size_at].to_pylist()
+                cols[size_at] = pa.array([n if x is y else len(y) for n, x, y in zip(sizes, old, new, strict=True)], cols[size_at].type)
             return pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
         return batch

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, mixing, neardup, pii, quality, secrets, token_counts, transport
+from tessella.llm import bpe, chat, licenses, mixing, neardup, pii, quality, secrets, token_counts, transport
 from tessella.llm.common import table
 
 
@@ -24,6 +24,10 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(spark, sf_dir)
+
+
 def op2_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -57,9 +61,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_report(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii_semi_markov, op3_transport_streams, op4_robust_quality, op5_bpe_merge_replay, op6_minhash_forest, op7_secret_automata, op8_source_mix, op9_token_counts)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii_semi_markov, op3_transport_streams, op4_robust_quality, op5_bpe_merge_replay, op6_minhash_forest, op7_secret_automata, op8_source_mix, op9_token_counts, op10_preference_pairs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_forest": neardup.ORACLE, "op8_source_mix": mixing.ORACLE}
+    return {"op1_license_scan": licenses.ORACLE, "op6_minhash_forest": neardup.ORACLE, "op8_source_mix": mixing.ORACLE}
