@@ -1,15 +1,307 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries; their DuckDB equivalents are in `oracle`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import similarity as S
+from tessella.functions import text as T
+from tessella.operators import assignment, blocking, features, metrics, model, records, scoring, selection, validate
+from tessella.plans import adapters, oracle
+from tessella.plans.matching import Matching
+from tessella.sources import tables
+
+#: Small caps show what they do on small tables.
+CAPPED = blocking.Blocking(df_cap=3, max_posting=20)
+THRESHOLDS = tuple(x / 100 for x in range(34, 91, 2))
+PICK = 0.5
+
+
+def matching(spark: SparkSession, sf_dir: str) -> Matching:
+    return Matching(adapters.records(spark, sf_dir))
+
+
+def norm_fold(spark, d):
+    r = adapters.records(spark, d)
+    return r.select("entity_id", T.fold(F.col("business_name")).alias("name_fold"), T.fold(F.col("business_address")).alias("address_fold"))
+
+
+def norm_squash(spark, d):
+    r = adapters.records(spark, d)
+    return r.select("entity_id", T.squash(F.col("business_name")).alias("squashed"), T.name_squash(F.col("business_name")).alias("name_squash"))
+
+
+def _joined(c: Column) -> Column:
+    return F.array_join(c, " ")
+
+
+def norm_name_core(spark, d):
+    r = adapters.records(spark, d)
+    n = F.col("business_name")
+    return r.select("entity_id", _joined(T.name_tokens(n)).alias("name_tokens"), _joined(T.name_core(n)).alias("core"), _joined(T.name_distinctive(n)).alias("distinctive"))
+
+
+def norm_addr_tokens(spark, d):
+    both = adapters.records(spark, d).unionByName(adapters.part_records(spark, d).withColumn("entity_id", F.concat(F.lit("P"), F.col("entity_id"))))
+    return both.select("entity_id", _joined(T.address_tokens(F.col("business_address"), F.col("country"))).alias("addr_tokens"))
+
+
+def norm_numeric_tokens(spark, d):
+    return adapters.records(spark, d).select("entity_id", _joined(T.numeric_tokens(F.col("business_address"))).alias("numbers"))
+
+
+def norm_trigrams(spark, d):
+    n = matching(spark, d).norm
+    return n.select("entity_id", F.size(T.ngrams(F.col("nsq"))).cast("bigint").alias("n_name_grams"), _joined(F.array_sort(T.ngrams(F.col("nsq")))).alias("name_grams"), F.size(T.address_grams(F.col("addr_toks"))).cast("bigint").alias("n_address_grams"))
+
+
+def norm_script(spark, d):
+    r = adapters.records(spark, d)
+    return r.groupBy(T.script_of(F.col("business_name")).alias("script"), T.is_latin(F.col("business_name")).alias("latin")).agg(F.count("*").alias("n_records"))
+
+
+def source_counts(spark, d):
+    return records.country_counts(adapters.records(spark, d))
+
+
+def truth_explode(spark, d):
+    return metrics.links(adapters.truth(spark, d))
+
+
+def corpus_df(spark, d):
+    return matching(spark, d).stats[0]
+
+
+def corpus_idf(spark, d):
+    df, n = matching(spark, d).stats
+    return records.idf(df, n).select("channel", "token", F.round("idf", 9).alias("idf"), F.round(F.log(F.lit(float(n))), 9).alias("unseen"))
+
+
+def rare_tokens(spark, d):
+    w = matching(spark, d).weighed
+    return w.select("entity_id", _joined(F.transform("rare_n", lambda x: x["token"])).alias("rare_name"), _joined(F.transform("rare_a", lambda x: x["token"])).alias("rare_address"))
+
+
+def blocking_keys(spark, d):
+    return matching(spark, d).keys
+
+
+def posting_cap(spark, d):
+    m = Matching(adapters.records(spark, d), CAPPED)
+    return blocking.postings(m.keys, CAPPED)
+
+
+def posting_cap_chunked(spark, d):
+    m = Matching(adapters.records(spark, d), CAPPED)
+    number = F.regexp_extract("entity_id", "([0-9]+)$", 1).cast("bigint")
+    k = m.keys.withColumn("chunk", F.when(F.col("source") == 1, F.pmod(number, F.lit(4))))
+    return blocking.postings(k, CAPPED, "chunk")
+
+
+def candidate_pairs(spark, d):
+    m = matching(spark, d)
+    return m.gated.select("s1_id", "target_id", F.round("jn", 9).alias("jn"), F.round("ja", 9).alias("ja"))
+
+
+def candidate_pairs_skewed(spark, d):
+    """Very frequent names: single tokens are no keys and postings are capped."""
+    m = Matching(adapters.part_records(spark, d), CAPPED)
+    return m.pairs
+
+
+def blocking_stats(spark, d):
+    return blocking.index_stats(matching(spark, d).keys)
+
+
+def run_statistics(spark, d):
+    m = matching(spark, d)
+    gate = m.joined.select(S.jaccard(F.col("p_nc"), F.col("q_nc")).alias("jn"), S.jaccard(F.col("p_addr_toks"), F.col("q_addr_toks")).alias("ja"))
+    passed = (F.col("jn") >= scoring.GATE) | (F.col("ja") >= scoring.GATE)
+    a = m.norm.agg(F.count_if(F.col("source") == 1).alias("references"), F.count_if(F.col("source") != 1).alias("scanned"))
+    b = gate.agg(F.count("*").alias("considered"), F.count_if(passed).alias("passed"))
+    c = m.ranked.agg(F.count("*").alias("kept"))
+    return a.join(b, F.lit(True)).join(c, F.lit(True))
+
+
+def _pair_query(*cols: tuple[str, Callable[[], Column]]):
+    def query(spark, d):
+        return matching(spark, d).joined.select("s1_id", "target_id", *(F.round(f(), 6).alias(n) for n, f in cols))
+
+    return query
+
+
+def _p(c: str) -> Column:
+    return F.col(f"p_{c}")
+
+
+def _q(c: str) -> Column:
+    return F.col(f"q_{c}")
+
+
+pair_jaccard = _pair_query(("name_sim", lambda: S.jaccard(_p("nc"), _q("nc"))), ("addr_sim", lambda: S.jaccard(_p("addr_toks"), _q("addr_toks"))))
+pair_dice = _pair_query(("name_sim", lambda: S.dice(_p("nc"), _q("nc"))), ("addr_sim", lambda: S.dice(_p("addr_toks"), _q("addr_toks"))))
+pair_containment = _pair_query(("name_sim", lambda: S.containment(_p("nc"), _q("nc"))), ("addr_sim", lambda: S.containment(_p("addr_toks"), _q("addr_toks"))))
+pair_weighted_jaccard = _pair_query(
+    ("name_sim", lambda: S.weighted_jaccard(_p("nc"), _q("nc"), _p("idf_n"), _p("sum_n"), _q("sum_n"))),
+    ("addr_sim", lambda: S.weighted_jaccard(_p("addr_toks"), _q("addr_toks"), _p("idf_a"), _p("sum_a"), _q("sum_a"))),
+)
+pair_idf_cosine = _pair_query(
+    ("name_sim", lambda: S.idf_cosine(_p("nc"), _q("nc"), _p("idf_n"), _p("square_n"), _q("square_n"))),
+    ("addr_sim", lambda: S.idf_cosine(_p("addr_toks"), _q("addr_toks"), _p("idf_a"), _p("square_a"), _q("square_a"))),
+)
+
+
+def pair_numeric(spark, d):
+    n = S.numeric_agreement(_p("numbers"), _q("numbers"))
+    return matching(spark, d).joined.select("s1_id", "target_id", F.round(n["score"], 6).alias("num_score"), n["evidence"].alias("has_num"))
+
+
+def embedding_cosine_topk(spark, d):
+    e = adapters.embeddings(spark, d)
+    p = matching(spark, d).pairs.join(e.select(F.col("entity_id").alias("s1_id"), F.col("embedding").alias("ea")), "s1_id").join(e.select(F.col("entity_id").alias("target_id"), F.col("embedding").alias("eb")), "target_id")
+    c = p.select("s1_id", "target_id", F.round(S.cosine(F.col("ea"), F.col("eb")), 5).alias("score"))
+    return scoring.top_k(c, 5, None).select("s1_id", "target_id", F.col("score").alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def rule_score(spark, d):
+    return matching(spark, d).scored.select("s1_id", "target_id", "score")
+
+
+def prefilter_topk(spark, d):
+    return matching(spark, d).ranked.select("s1_id", "target_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+def threshold_select(spark, d):
+    return scoring.threshold_select(matching(spark, d).ranked, PICK, 3).select("s1_id", "target_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+def threshold_sweep(spark, d):
+    return scoring.sweep(matching(spark, d).ranked, adapters.truth(spark, d), THRESHOLDS)
+
+
+def _rounded(df: DataFrame, names) -> DataFrame:
+    return df.select("s1_id", "target_id", *(F.round(c, 6).alias(c) for c in names))
+
+
+def pair_features(spark, d):
+    m = matching(spark, d)
+    return _rounded(features.pair_features(scoring.with_records(m.ranked.select("s1_id", "target_id"), m.weighed)), features.PAIR)
+
+
+def cross_source_features(spark, d):
+    m = matching(spark, d)
+    return _rounded(features.cross_source(m.ranked, m.norm), features.CROSS)
+
+
+def rank_features(spark, d):
+    return _rounded(features.competition(matching(spark, d).ranked), features.RANK)
+
+
+def with_prob(m: Matching) -> DataFrame:
+    """The rule score stands for a probability where no model is asked for."""
+    return m.ranked.withColumn("prob", F.col("score"))
+
+
+def ratio_select(spark, d):
+    return selection.ratio_counts(with_prob(matching(spark, d)))
+
+
+def expected_f_select(spark, d):
+    return selection.expected_select(with_prob(matching(spark, d))).select("s1_id", "target_id", "prob")
+
+
+def assignment_first_pass(spark, d):
+    return assignment.lost(selection.expected_select(with_prob(matching(spark, d))))
+
+
+def claim_counts(spark, d):
+    return assignment.claims(selection.expected_select(with_prob(matching(spark, d))))
+
+
+def assignment_fixpoint(spark, d):
+    return matching(spark, d).chosen().select("s1_id", "target_id", "prob")
+
+
+def _picked(m: Matching) -> DataFrame:
+    return metrics.as_lists(scoring.threshold_select(m.ranked, PICK))
+
+
+def macro_f(spark, d):
+    return metrics.macro_f(adapters.truth(spark, d), _picked(matching(spark, d)))
+
+
+def breakdown_by_country(spark, d):
+    return metrics.breakdown(adapters.truth(spark, d), _picked(matching(spark, d)))
+
+
+def candidate_recall(spark, d):
+    return metrics.candidate_recall(adapters.truth(spark, d), matching(spark, d).pairs)
+
+
+def oracle_score(spark, d):
+    return metrics.oracle_score(adapters.truth(spark, d), matching(spark, d).pairs)
+
+
+def id_lists(spark, d):
+    """Output lines, one for each reference record, empty lists among them."""
+    s1 = adapters.records(spark, d).filter("entity_id like 'S1-%'").withColumn("ordinal", F.regexp_extract("entity_id", "([0-9]+)$", 1).cast("bigint"))
+    done = tables.complete(s1, _picked(matching(spark, d)))
+    return done.select("ordinal", F.concat("s1_id", F.lit("\t"), F.array_join("ids", ",")).alias("line"))
+
+
+def validate_output(spark, d):
+    """Damaged lines made from `orders`: repeated rows and ids, foreign prefixes, self-matches, lines without a tab."""
+    o = adapters.table(spark, d, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    head = F.concat(F.lit("S1-"), F.when(k % 97 == 0, k - 1).otherwise(k).cast("string"))
+    ids = F.concat_ws(",", F.concat(F.lit("S2-"), c.cast("string")), F.when(k % 89 == 0, F.concat(F.lit("S2-"), c.cast("string"))), F.when(k % 83 == 0, F.concat(F.lit("S1-"), c.cast("string"))), F.when(k % 79 == 0, F.concat(F.lit("X-"), c.cast("string"))))
+    lines = o.select(F.when(k % 101 == 0, head).otherwise(F.concat(head, F.lit("\t"), ids)).alias("value"))
+    required = o.filter(k % 103 != 0).select(F.concat(F.lit("S1-"), k.cast("string")).alias("s1_id"))
+    known = adapters.table(spark, d, "customer").filter(F.col("c_custkey") % 107 != 0).select(F.concat(F.lit("S2-"), F.col("c_custkey").cast("string")).alias("target_id"))
+    return validate.validate(validate.parse(lines), required, known)
+
+
+def embedding_inputs(spark, d):
+    return tables.embedding_inputs(matching(spark, d).norm, all_targets=False)
+
+
+def model_split(spark, d):
+    """Parts of an entity-disjoint split, with labels of `labels` counted in each."""
+    e = adapters.table(spark, d, "labels").select(F.concat(F.lit("S1-"), F.col("doc_id").cast("string")).alias("s1_id"), "quality")
+    return model.split(e).select("s1_id", "part", F.col("quality").cast("int").alias("label"))
+
+
+def gbt_scores(spark, d):
+    """Probabilities of boosted trees, learned from the silver truth."""
+    m = matching(spark, d)
+    data = model.split(model.label(m.featured, metrics.links(adapters.truth(spark, d)))).persist()
+    fitted = model.train(data, rounds=5, depth=3)
+    return model.apply(fitted, data).select("s1_id", "target_id", "part", "label", F.round(F.col("prob").cast("double"), 6).alias("prob"))
+
+
+NAMES = (
+    norm_fold, norm_squash, norm_name_core, norm_addr_tokens, norm_numeric_tokens, norm_trigrams, norm_script,
+    source_counts, truth_explode, corpus_df, corpus_idf, rare_tokens,
+    blocking_keys, posting_cap, posting_cap_chunked, candidate_pairs, candidate_pairs_skewed, blocking_stats, run_statistics,
+    pair_numeric, embedding_cosine_topk, rule_score, prefilter_topk, threshold_select, threshold_sweep,
+    pair_features, cross_source_features, rank_features, ratio_select, expected_f_select, assignment_first_pass,
+    claim_counts, assignment_fixpoint, macro_f, breakdown_by_country, candidate_recall, oracle_score, id_lists,
+    validate_output, embedding_inputs, model_split, gbt_scores,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in NAMES} | {
+        "pair_jaccard": pair_jaccard,
+        "pair_dice": pair_dice,
+        "pair_containment": pair_containment,
+        "pair_weighted_jaccard": pair_weighted_jaccard,
+        "pair_idf_cosine": pair_idf_cosine,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
