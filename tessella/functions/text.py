@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache, partial
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +39,6 @@ def fold(c: Column) -> Column:
 
 def fold_full(c: Column) -> Column:
     """`fold` with the whole of Unicode's compatibility decomposition, as an Arrow UDF, for text beyond Latin letters."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         def one(x: str | None) -> str:
@@ -123,11 +122,11 @@ def numeric_tokens(c: Column) -> Column:
 def ngrams(c: Column, n: int = 3) -> Column:
     """Distinct character n-grams; a shorter text is its own only one, an empty one has none."""
 
-    def of(s: Column) -> Column:  # `c` is computed once, not for each position
-        grams = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, F.lit(n)))
-        return F.when(F.length(s) == 0, F.array().cast("array<string>")).when(F.length(s) < n, F.array(s)).otherwise(F.array_distinct(grams))
+    def of(ch: Column) -> Column:  # characters as an array: a substring walks its text from the start each time
+        grams = F.transform(F.sequence(F.lit(0), F.size(ch) - n), lambda i: F.concat(*(F.get(ch, i + k) for k in range(n))))
+        return F.when(F.size(ch) == 0, F.array().cast("array<string>")).when(F.size(ch) < n, F.array(F.array_join(ch, ""))).otherwise(F.array_distinct(grams))
 
-    return F.element_at(F.transform(F.array(c), of), 1)
+    return F.element_at(F.transform(F.array(F.filter(F.split(c, ""), lambda x: x != "")), of), 1)
 
 
 def address_grams(toks: Column) -> Column:

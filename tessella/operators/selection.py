@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,8 +44,6 @@ def expected_select(ranked: DataFrame, prob: str = "prob") -> DataFrame:
 
     Likelier candidates come first, ties by `rank`. An Arrow UDF over arrays of at most MOST numbers for an entity.
     """
-    import pandas as pd
-
     @F.pandas_udf("int")
     def n_best(probs: pd.Series) -> pd.Series:
         return probs.map(lambda x: best_count(list(x))).astype("int32")

@@ -27,8 +27,13 @@ def as_set(x: str) -> str:
     return f"list_sort(list_distinct({x}))"
 
 
-def grams(x: str) -> str:
-    return f"CASE WHEN length({x}) = 0 THEN [] WHEN length({x}) < 3 THEN [{x}] ELSE list_distinct(list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3))) END"
+def grams(ch: str) -> str:
+    """Trigrams from a list of characters."""
+    return f"CASE WHEN len({ch}) = 0 THEN [] WHEN len({ch}) < 3 THEN [array_to_string({ch}, '')] ELSE list_distinct(list_transform(range(1, len({ch}) - 1), lambda i: {ch}[i] || {ch}[i + 1] || {ch}[i + 2])) END"
+
+
+def chars(x: str) -> str:
+    return f"list_filter(string_split({x}, ''), lambda c: c <> '')"
 
 
 def common(a: str, b: str) -> str:
@@ -141,16 +146,18 @@ N_WJAC = f"CASE WHEN {common('p_nc', 'q_nc')} > 0 AND sum_n - both_n > 0 THEN bo
 SCORED = f"""
 gated AS MATERIALIZED (
   SELECT * FROM (SELECT *, {jaccard("p_nc", "q_nc")} AS jn, {jaccard("p_addr", "q_addr")} AS ja FROM joined) WHERE jn >= {GATE} OR ja >= {GATE}
+), spelled AS MATERIALIZED (
+  SELECT *, {chars("p_nsq")} AS p_nch, {chars("q_nsq")} AS q_nch, {chars("array_to_string(p_addr, ' ')")} AS p_ach, {chars("array_to_string(q_addr, ' ')")} AS q_ach FROM gated
 ), gram AS MATERIALIZED (
-  SELECT *, {grams("p_nsq")} AS p_ng, {grams("q_nsq")} AS q_ng, {grams("array_to_string(p_addr, ' ')")} AS p_ag, {grams("array_to_string(q_addr, ' ')")} AS q_ag FROM gated
-), similar AS MATERIALIZED (
+  SELECT *, {grams("p_nch")} AS p_ng, {grams("q_nch")} AS q_ng, {grams("p_ach")} AS p_ag, {grams("q_ach")} AS q_ag FROM spelled
+), alike AS MATERIALIZED (
   SELECT *, {N_WJAC} AS n_wjac, {containment("p_nd", "q_nd")} AS nd_cont, {dice("p_ng", "q_ng")} AS n_gram_dice, {A_WJAC} AS a_wjac, {dice("p_ag", "q_ag")} AS a_gram_dice,
          {containment("p_num", "q_num")} AS num_score, len(p_num) > 0 AND len(q_num) > 0 AS has_num, len(p_addr) > 0 AND len(q_addr) > 0 AS has_addr FROM gram
 ), scored AS MATERIALIZED (
   SELECT *, round((CASE WHEN has_addr THEN {W.addr}::DOUBLE * ({W.addr_idf}::DOUBLE * a_wjac + {W.addr_grams}::DOUBLE * a_gram_dice) ELSE 0 END + CASE WHEN has_num THEN {W.num}::DOUBLE * num_score ELSE 0 END
          + {W.name}::DOUBLE * ({W.name_idf}::DOUBLE * n_wjac + {W.name_contained}::DOUBLE * nd_cont + {W.name_grams}::DOUBLE * n_gram_dice))
          / (CASE WHEN has_addr THEN {W.addr}::DOUBLE ELSE 0 END + CASE WHEN has_num THEN {W.num}::DOUBLE ELSE 0 END + {W.name}::DOUBLE)
-         * [{", ".join(f"{x}::DOUBLE" for x in W.trust)}][2 + CASE WHEN has_addr THEN 2 ELSE 0 END + CASE WHEN has_num THEN 4 ELSE 0 END], 6) AS score FROM similar
+         * [{", ".join(f"{x}::DOUBLE" for x in W.trust)}][2 + CASE WHEN has_addr THEN 2 ELSE 0 END + CASE WHEN has_num THEN 4 ELSE 0 END], 6) AS score FROM alike
 ), ranked AS MATERIALIZED (
   SELECT *, score AS prob FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) AS rank FROM scored WHERE score >= {PREFILTER}) WHERE rank <= {TOP_K}
 )"""
@@ -234,7 +241,7 @@ def sql() -> dict[str, str]:
         "norm_name_core": chain(f"SELECT entity_id, {text('nt')} AS name_tokens, {text('core')} AS core, {text('distinctive')} AS distinctive FROM ordered", DOCUMENTS, NORM),
         "norm_addr_tokens": chain(f"SELECT entity_id, {text('addr_list')} AS addr_tokens FROM ordered", "\nfirst AS (SELECT * FROM (" + DOCUMENTS.split("(", 1)[1].rsplit(")", 1)[0] + "))", "\nsecond AS (SELECT * FROM (" + PARTS.split("(", 1)[1].rsplit(")", 1)[0] + "))", "\nrecords AS (SELECT * FROM first UNION ALL SELECT 'P' || entity_id, business_name, business_address, country FROM second)", NORM.split("), norm AS")[0] + ")"),
         "norm_numeric_tokens": chain(f"SELECT entity_id, {text('numbers')} AS numbers FROM norm", DOCUMENTS, NORM),
-        "norm_trigrams": chain(f"SELECT entity_id, len({grams('nsq')}) AS n_name_grams, {text('list_sort(' + grams('nsq') + ')')} AS name_grams, len({grams(text('addr_toks'))}) AS n_address_grams FROM norm", DOCUMENTS, NORM),
+        "norm_trigrams": chain(f"SELECT entity_id, len({grams('nch')}) AS n_name_grams, {text('list_sort(' + grams('nch') + ')')} AS name_grams, len({grams('ach')}) AS n_address_grams FROM spelled", DOCUMENTS, NORM, f"\nspelled AS MATERIALIZED (SELECT entity_id, {chars('nsq')} AS nch, {chars(text('addr_toks'))} AS ach FROM norm)"),
         "norm_script": chain(f"SELECT script, script = 'Latin' AS latin, count(*) AS n_records FROM (SELECT {script} AS script FROM (SELECT coalesce(unicode(nullif(regexp_extract(business_name, '[{span}]'), '')), 0) AS c FROM records)) GROUP BY script", DOCUMENTS),
         "source_counts": chain("SELECT country, count(*) AS n_records FROM records GROUP BY country", DOCUMENTS),
         "truth_explode": chain("SELECT s1_id, target_id FROM links", DOCUMENTS, TRUTH),
@@ -244,7 +251,7 @@ def sql() -> dict[str, str]:
         "blocking_keys": chain("SELECT * FROM blocking", DOCUMENTS, NORM, STATS, keys()),
         "posting_cap": chain("SELECT * FROM posting", DOCUMENTS, NORM, STATS, keys(3), pairs(20)),
         "posting_cap_chunked": chain("SELECT country, family, t1, t2, s1_id FROM (SELECT *, entity_id AS s1_id, count(*) OVER (PARTITION BY country, family, t1, t2, CAST(regexp_extract(entity_id, '[0-9]+$') AS BIGINT) % 4) AS size FROM blocking WHERE source = 1) WHERE size <= 20", DOCUMENTS, NORM, STATS, keys(3)),
-        "candidate_pairs": chain("SELECT s1_id, target_id, round(jn, 9) AS jn, round(ja, 9) AS ja FROM gated", *to_joined, SCORED.split("), gram AS")[0] + ")"),
+        "candidate_pairs": chain("SELECT s1_id, target_id, round(jn, 9) AS jn, round(ja, 9) AS ja FROM gated", *to_joined, SCORED.split("), spelled AS")[0] + ")"),
         "candidate_pairs_skewed": chain("SELECT * FROM pairs", PARTS, NORM, STATS, keys(3), pairs(20)),
         "blocking_stats": chain("SELECT family, count(*) FILTER (size <= 200) AS n_keys, count(*) FILTER (size > 200) AS dropped_keys, CAST(coalesce(sum(size) FILTER (size <= 200), 0) AS BIGINT) AS postings FROM (SELECT country, family, t1, t2, count(*) AS size FROM blocking WHERE source = 1 GROUP BY ALL) GROUP BY family", DOCUMENTS, NORM, STATS, keys()),
         "run_statistics": chain('SELECT (SELECT count(*) FROM norm WHERE source = 1) AS "references", (SELECT count(*) FROM norm WHERE source <> 1) AS scanned, (SELECT count(*) FROM joined) AS considered, (SELECT count(*) FROM gated) AS passed, (SELECT count(*) FROM ranked) AS kept', *to_ranked),
