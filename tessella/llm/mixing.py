@@ -99,6 +99,14 @@ def mix_digest(df: DataFrame) -> DataFrame:
     return mix(slim).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _chars_of_words(text: Column, n: Column) -> Column:
+    """Characters of a text up to the end of its n-th word. A walk over the pieces between single spaces: a repeated
+    group in a Java pattern overflows the stack after some thousand words."""
+    pieces = F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ", -1)
+    step = lambda s, p: F.when(s["n"] < n, F.struct((s["n"] + (p != "").cast("long")).alias("n"), (s["c"] + F.length(p) + 1).cast("long").alias("c"))).otherwise(s)
+    return F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c")), step)["c"] - 1
+
+
 def take(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **cols) -> DataFrame:
     """The mixed rows themselves, with the columns of `df`: a row taken k times and a part comes k times whole and once
     with its first words up to that part; rows taken 0 times go."""
@@ -108,7 +116,7 @@ def take(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     d = d.withColumn("_mix_words", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), copies), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
-    first = F.expr(f"regexp_extract(`{text_col}`, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*+[^\\\\x20\\\\x09-\\\\x0D]++){{', _mix_words, '}}'), 0)")
+    first = F.substring(F.col(text_col), F.lit(1), _chars_of_words(F.col(text_col), F.col("_mix_words")).cast("int"))
     d = d.withColumn(text_col, F.when(F.col("_mix_words") < 0, F.col(text_col)).otherwise(first))
     if chars_col and chars_col in mine:
         d = d.withColumn(chars_col, F.when(F.col("_mix_words") < 0, F.col(chars_col)).otherwise(F.length(text_col)).cast(df.schema[chars_col].dataType))
