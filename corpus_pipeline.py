@@ -34,7 +34,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids (packed little-endian unsigned 32-bit integers), number of tokens and whether
     decoding gives the text back."""
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    done = bpe.decode(bpe.encode(docs, path, pattern()), path, pattern())
+    done = bpe.encode(docs, path, pattern(), back="decoded", reuse=False)
     return done.selectExpr(*[f"`{c}`" for c in docs.columns], "token_ids", "CAST(length(token_ids) / 4 AS BIGINT) AS n_tokens", "decoded = CAST(coalesce(text, '') AS BINARY) AS round_trip")
 
 

@@ -14,6 +14,7 @@ import base64
 import heapq
 from array import array
 from bisect import bisect_right
+from collections import defaultdict
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import map_batches
 
 #: Distinct words in each of the two generations that a task remembers, and bytes of words that one replay takes at once.
-CACHE = 300_000
-REPLAY_BYTES = 1 << 20
+CACHE = 400_000
+REPLAY_BYTES = 1 << 17
 
 
 class MergeReplay:
@@ -38,6 +39,7 @@ class MergeReplay:
         self.token = {r: t for t, r in self.ranks.items()}
         self.cut = regex.compile(pattern).findall
         self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.bytepair = [self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         self.pair: dict[int, int] = {}
         self.packed: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -61,43 +63,42 @@ class MergeReplay:
             pos += len(w)
             if w:
                 before[starts[-1]] = after[pos - 1] = -1
-        index: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if after[i] > 0:
-                key = tok[i] << 32 | tok[i + 1]
-                r = pair(key)
-                if r is None:
-                    r = join(key)
-                if r >= 0:
-                    if r in index:
+        # rank of the pair that begins at a place now; an entry of the index counts only while this is its rank
+        now = [-1] * n
+        index: defaultdict[int, list[int]] = defaultdict(list)
+        bytepair = self.bytepair
+        for w, i in zip(words, starts, strict=True):
+            a = -1
+            for b in w:
+                if a >= 0:
+                    r = now[i] = bytepair[a << 8 | b]
+                    if r >= 0:
                         index[r].append(i)
-                    else:
-                        index[r] = [i]
+                    i += 1
+                a = b
         queue = list(index)
         heapq.heapify(queue)
-        push = heapq.heappush
+        push, pop = heapq.heappush, heapq.heappop
         while queue:
-            r = heapq.heappop(queue)
+            r = pop(queue)
             places = index.pop(r)
-            places.sort()
-            waiting: set[int] = set()  # starts of words in which another merge comes first
+            if len(places) > 1:
+                places.sort()
+            waiting: set[int] | None = None  # starts of words in which another merge comes first
             for i in places:
-                j = after[i]
-                if j < 0 or tok[i] < 0:
-                    continue
-                key = tok[i] << 32 | tok[j]
-                x = pair(key)
-                if (join(key) if x is None else x) != r:
+                if now[i] != r:
                     continue  # a neighbour has changed meanwhile
                 if waiting and starts[bisect_right(starts, i) - 1] in waiting:
-                    if r in index:
-                        index[r].append(i)
-                    else:
-                        index[r] = [i]
+                    at = index[r]
+                    if not at:
                         push(queue, r)
+                    at.append(i)
                     continue
+                j = after[i]
                 tok[i], tok[j] = r, -1
+                now[j] = -1
                 k = after[i] = after[j]
+                x = -1
                 if k >= 0:
                     before[k] = i
                     key = r << 32 | tok[k]
@@ -105,27 +106,27 @@ class MergeReplay:
                     if x is None:
                         x = join(key)
                     if x >= 0:
-                        if x in index:
-                            index[x].append(i)
-                        else:
-                            index[x] = [i]
+                        at = index[x]
+                        if not at:
                             push(queue, x)
-                        if x <= r:
-                            waiting.add(starts[bisect_right(starts, i) - 1])
+                        at.append(i)
+                now[i] = x
                 h = before[i]
+                y = -1
                 if h >= 0:
                     key = tok[h] << 32 | r
-                    x = pair(key)
-                    if x is None:
-                        x = join(key)
-                    if x >= 0:
-                        if x in index:
-                            index[x].append(h)
-                        else:
-                            index[x] = [h]
-                            push(queue, x)
-                        if x <= r:
-                            waiting.add(starts[bisect_right(starts, i) - 1])
+                    y = pair(key)
+                    if y is None:
+                        y = join(key)
+                    now[h] = y
+                    if y >= 0:
+                        at = index[y]
+                        if not at:
+                            push(queue, y)
+                        at.append(h)
+                if 0 <= x <= r or 0 <= y <= r:
+                    waiting = waiting or set()
+                    waiting.add(starts[bisect_right(starts, i) - 1])
         out, starts = [], [*starts, n]
         for k in range(len(words)):
             out.append([t for t in tok[starts[k] : starts[k + 1]] if t >= 0])
@@ -183,27 +184,31 @@ def replayer(path: str, pattern: str) -> MergeReplay:
     return MergeReplay(path, pattern)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "token_ids", texts_at_once: int = 500) -> DataFrame:
-    """`df` with a binary column `out`: the ids of `text_col`, packed as little-endian unsigned 32-bit integers.
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "token_ids", back: str | None = None, reuse: bool = True, texts_at_once: int = 500) -> DataFrame:
+    """`df` with a binary column `out`: the ids of `text_col`, packed as little-endian unsigned 32-bit integers. With
+    `back`, a binary column of that name has the bytes that these ids decode to. With `reuse` the words that a Python
+    worker has learned serve its later tasks; without it their memory is free after each task.
 
-    Null and empty texts give an empty value. All other columns, their nulls and repeated rows pass through; a column
-    that is already called `out` is replaced.
+    Null and empty texts give an empty value. All other columns, their nulls and repeated rows pass through; columns
+    that are already called so are replaced.
     """
-    df = df.drop(out)
+    new = [out, back] if back else [out]
+    df = df.drop(*new)
     at = df.columns.index(text_col)
 
     def make():
-        r = replayer(path, pattern)
+        r = replayer(path, pattern) if reuse else MergeReplay(path, pattern)
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             texts, ids = b.column(at).to_pylist(), []
             for i in range(0, len(texts), texts_at_once):
                 ids += r.encode(texts[i : i + texts_at_once])
-            return pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names=[*b.schema.names, out])
+            made = [ids, map(r.decode, ids)] if back else [ids]
+            return pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.binary()) for x in made)], names=[*b.schema.names, *new])
 
         return batch
 
-    return map_batches(df, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` binary")
+    return map_batches(df, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{c}` binary" for c in new))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -224,5 +229,5 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", o
 
 def encode_digest(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """Per row: id, n_tokens, SHA-256 of the packed ids and of the bytes decoded from them."""
-    done = decode(encode(df.select(id_col, "text"), path, pattern).drop("text"), path, pattern)
+    done = encode(df.select(id_col, "text"), path, pattern, back="decoded")
     return done.select(id_col, (F.length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -13,6 +13,7 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: What a Python function gets at once, so that its memory doesn't follow Spark's batches of rows.
 BATCH_BYTES = 4 << 20
+ARROW_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +42,28 @@ def bounded_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def tidy() -> None:
+    """Give a Python worker's freed memory back; workers stay for other stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with state made once per task: `make()` returns the function of a batch, which has about BATCH_BYTES."""
+    """mapInArrow with state made once per task: `make()` returns the function of a batch, which has about BATCH_BYTES.
+
+    Where the session still has Spark's default of rows in an Arrow batch, it gets ROWS: texts are long rows, and the
+    buffers of every task hold a whole batch.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_ROWS, "10000") == "10000":
+        conf.set(ARROW_ROWS, str(ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -50,6 +71,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             step = max(1, b.num_rows * BATCH_BYTES // max(1, b.nbytes))
             for i in range(0, b.num_rows, step):
                 yield f(b.slice(i, step))
+        del f
+        tidy()
 
     return df.mapInArrow(run, schema)
 
