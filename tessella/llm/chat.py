@@ -18,8 +18,8 @@ from tessella.llm.common import map_batches, shared, table
 #: The marks of a turn, and the role that is learned.
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
-#: Conversations of one first turn that are paired in one window.
-AT_ONCE = 1000
+#: Conversations of one first turn that are paired in one window, and parts that a first turn is dealt to in a join.
+AT_ONCE, SALTS = 1000, 8
 
 Turn = tuple[str | None, str | None]
 
@@ -82,7 +82,9 @@ def pairs(c: DataFrame, better: Column | None = None) -> DataFrame:
     slim = shared(c.select("conv_id", "opening", F.coalesce(score, F.lit(0)).alias("score")))
     # Places within an opening without one task for it: ids by part, counts of the parts before.
     n = slim.groupBy("opening").agg(F.count("*").alias("n"))
-    parted = slim.join(n, "opening").withColumn("part", F.pmod(F.xxhash64("conv_id"), F.ceil(F.col("n") / AT_ONCE)))
+    salt = F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int")
+    dealt = slim.withColumn("salt", salt).join(n.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["opening", "salt"])
+    parted = dealt.withColumn("part", F.pmod(F.xxhash64("conv_id"), F.ceil(F.col("n") / AT_ONCE)))
     by = W.partitionBy("opening", "part").orderBy("conv_id")
     placed = parted.withColumn("k", F.row_number().over(by) - 1).withColumn("size", F.count("*").over(W.partitionBy("opening", "part")))
     left = (F.col("size") % 2 == 1) & (F.col("k") == F.col("size") - 1)

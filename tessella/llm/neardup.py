@@ -30,7 +30,7 @@ from tessella.llm.components import components, root
 
 HASHES, TREES, DEPTH, LEAST_DEPTH = 128, 20, 6, 3
 REGION, CLUSTER, LAGS = 2048, 256, 7
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, BROADCAST_IDS = 100_000, 2_000_000
 WORDS_KEPT = 300_000
 #: Sketch positions of HASHES that must agree. Pairs of similarity 0.8 agree in 0.85 of them; 80 lies 7 deviations lower.
 AGREE = 80
@@ -301,10 +301,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     least id. Of rows that repeat an id and are in one group, one stays; rows with a null id all stay.
     """
     mine = df.columns
-    result = shared(near_duplicates(df, id_col, text_col, size, percent).filter("component_id is not null").groupBy(F.col(id_col).alias("_nd_id")).agg(F.count("*").alias("_nd_rows"), F.min("kept").alias("_nd_all"), F.max("kept").alias("_nd_any")))
-    d = df.join(result, F.col(id_col) == F.col("_nd_id"), "left")
-    once = d.filter("_nd_id is null or (_nd_rows = 1 and _nd_any)").select(mine)
-    again = d.filter("_nd_rows > 1 and _nd_any").dropDuplicates([id_col]).select(mine)
+    result = near_duplicates(df, id_col, text_col, size, percent).filter("component_id is not null").groupBy(F.col(id_col).alias("_nd_id")).agg(F.count("*").alias("_nd_rows"), F.max("kept").alias("_nd_any"))
+    special = shared(result.filter("_nd_rows > 1 or not _nd_any"))  # ids alone, so texts are not shuffled for them
+    d = df.join(bounded_broadcast(special, special.count(), BROADCAST_IDS), F.col(id_col) == F.col("_nd_id"), "left")
+    once = d.filter("_nd_id is null").select(mine)
+    again = d.filter("_nd_any").dropDuplicates([id_col]).select(mine)
     return once.unionByName(again)
 
 

@@ -164,7 +164,7 @@ class SecretScanner:
         return k, ll / (len(syms) + 1), ll - self.background.score(syms)
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, bool]]:
-        """(kind, start, end, base), base ones first, each part by start and then by kind as listed."""
+        """(kind, start, end, base) by start, then by kind as listed, the formats after the base kinds."""
         if not text:
             return []
         base = []
@@ -184,7 +184,8 @@ class SecretScanner:
                     kind, per, margin = self.best(c)
                     if per >= PER_SYMBOL and margin >= MARGIN:
                         more.append((kind, s, e, False))
-        return [(KINDS[k], s, e, True) for s, k, e in base] + more
+        order = (*KINDS, *self.formats).index
+        return sorted([(KINDS[k], s, e, True) for s, k, e in base] + more, key=lambda x: (x[1], order(x[0])))
 
 
 @lru_cache(maxsize=1)
