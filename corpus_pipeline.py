@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, mixing, neardup, pii, quality
+from tessella.llm.common import shared_folder
 from tessella.llm.registry import pattern, vocabulary
 
 
@@ -53,8 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; every stage's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    where = f"{base}/pipeline-{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = f"{where}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(out)

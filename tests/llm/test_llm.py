@@ -374,11 +374,10 @@ def test_pairs_of_a_frequent_opening(spark, monkeypatch):
 # the pipeline
 
 
-def test_pipeline(spark, docs, tmp_path, monkeypatch):
+def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
     docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "documents.parquet"))
-    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: str(tmp_path), raising=False)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "personal_data", "source_mix", "encoding"]
     assert out and all(r.round_trip and r.n_tokens * 4 == len(r.token_ids) for r in out)
