@@ -4,6 +4,10 @@ The prompt is the longest common prefix of turns (equal roles and texts), render
 of its conversation with the character ranges that a trainer may learn from: the assistant's turns and their end
 marks. Turns are rendered as START role newline text END newline; marks inside texts are broken up, so that a text
 can't end its turn.
+
+Conversations of one first turn are natural pairs. For one without a natural partner a view makes the rejected branch:
+its own turns up to its last assistant turn, which is replaced by the last assistant turn of another conversation. The
+prompt is then what precedes that turn, the same in both branches.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
 #: Conversations of one first turn that are paired in one window, and parts that a first turn is dealt to in a join.
 AT_ONCE, SALTS = 1000, 8
+#: Following answers that the conversations of one answer take their rejected ones from.
+DONORS = 8
 
 Turn = tuple[str | None, str | None]
 
@@ -63,6 +69,12 @@ def format_pair(chosen: list[Turn], rejected: list[Turn] | None) -> dict:
     return out
 
 
+def branch(turns: list[Turn], donor: list[Turn]) -> list[Turn]:
+    """`turns` up to the last assistant turn, and the donor's last assistant turn in its place."""
+    last = lambda ts: max(i for i, t in enumerate(ts) if t[0] == LEARNED)
+    return [*turns[: last(turns)], donor[last(donor)]]
+
+
 def conversations(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, turns, opening) from rows (conv_id, turn, role, text): a conversation's turns in order (ties by
     role and text; rows that repeat a turn number stay as turns of their own, null numbers come first) and a hash of
@@ -74,12 +86,13 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 
 def pairs(c: DataFrame, better: Column | None = None) -> DataFrame:
-    """Rows (chosen_id, rejected_id): conversations of the same opening, two by two in order of id; the one with more
+    """Rows (chosen_id, rejected_id, same): conversations of the same opening, two by two in order of id; the one with more
     learned characters is chosen (then the smaller id). The last of an odd number has no rejected one. Groups of over
-    AT_ONCE are paired in parts, each of an even number but one, so a frequent opening is no single task's work.
+    AT_ONCE are paired in parts, each of an even number but one, so a frequent opening is no single task's work. `same`
+    says that both are rendered alike, so that the pair prefers nothing; it is null without a rejected one.
     """
     score = better if better is not None else F.aggregate("turns", F.lit(0), lambda a, t: a + F.when(t["role"] == LEARNED, F.length(t["text"])).otherwise(0))
-    slim = shared(c.select("conv_id", "opening", F.coalesce(score, F.lit(0)).alias("score")))
+    slim = shared(c.select("conv_id", "opening", F.coalesce(score, F.lit(0)).alias("score"), whole().alias("whole")))
     # Places within an opening without one task for it: ids by part, counts of the parts before.
     n = slim.groupBy("opening").agg(F.count("*").alias("n"))
     salt = F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int")
@@ -88,34 +101,77 @@ def pairs(c: DataFrame, better: Column | None = None) -> DataFrame:
     by = W.partitionBy("opening", "part").orderBy("conv_id")
     placed = parted.withColumn("k", F.row_number().over(by) - 1).withColumn("size", F.count("*").over(W.partitionBy("opening", "part")))
     left = (F.col("size") % 2 == 1) & (F.col("k") == F.col("size") - 1)
-    even = placed.filter(~left).select("opening", "part", F.floor(F.col("k") / 2).alias("pair"), "conv_id", "score")
+    even = placed.filter(~left).select("opening", "part", F.floor(F.col("k") / 2).alias("pair"), "conv_id", "score", "whole")
     # one left over in each part: at most n / AT_ONCE + 1 rows of an opening, paired among themselves
-    over = placed.filter(left).select("opening", F.lit(-1).cast("long").alias("part"), F.floor((F.row_number().over(W.partitionBy("opening").orderBy("conv_id")) - 1) / 2).alias("pair"), "conv_id", "score")
-    both = even.unionByName(over).groupBy("opening", "part", "pair").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col("conv_id").alias("id")))).alias("x"))
-    return both.select(F.get("x", 0)["id"].alias("chosen_id"), F.get("x", 1)["id"].alias("rejected_id"))
+    over = placed.filter(left).select("opening", F.lit(-1).cast("long").alias("part"), F.floor((F.row_number().over(W.partitionBy("opening").orderBy("conv_id")) - 1) / 2).alias("pair"), "conv_id", "score", "whole")
+    both = even.unionByName(over).groupBy("opening", "part", "pair").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col("conv_id").alias("id"), "whole"))).alias("x"))
+    first, second = F.get("x", 0), F.get("x", 1)
+    return both.select(first["id"].alias("chosen_id"), second["id"].alias("rejected_id"), (first["whole"] == second["whole"]).alias("same"))
+
+
+def cleaned(text: Column) -> Column:
+    """A text as `render` writes it."""
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit(clean("<|")))
+
+
+def whole() -> Column:
+    """A hash of a conversation as it is rendered."""
+    return F.md5(F.to_json(F.transform("turns", lambda t: F.struct(cleaned(F.when(t["role"] != "", t["role"]).otherwise("user")).alias("role"), cleaned(t["text"]).alias("text")))))
+
+
+def donors(c: DataFrame) -> DataFrame:
+    """Rows (conv_id, donor_id): for each conversation with an assistant turn another one that ends with a different
+    answer (last assistant turn). Distinct answers form rings of about AT_ONCE in order of their hashes; the holders of
+    an answer are dealt to the DONORS that follow it, each the least id of its answer. Without a second answer in the
+    table there is no donor, thus no row.
+    """
+    answers = F.filter("turns", lambda t: t["role"].eqNullSafe(LEARNED))
+    said = shared(c.select("conv_id", answers.alias("a")).filter(F.size("a") > 0).select("conv_id", F.md5(cleaned(F.element_at("a", -1)["text"])).alias("said")))
+    distinct = shared(said.groupBy("said").agg(F.min("conv_id").alias("donor")))
+    rings = max(1, distinct.count() // AT_ONCE)
+    ring = distinct.groupBy(F.pmod(F.xxhash64("said"), F.lit(rings)).alias("ring")).agg(F.sort_array(F.collect_list(F.struct("said", "donor"))).alias("xs")).filter(F.size("xs") > 1)
+    following = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(DONORS), F.size("xs") - 1)), lambda k: F.get("xs", F.pmod(i + k, F.size("xs")))["donor"])
+    next_ones = ring.select(F.inline(F.transform("xs", lambda x, i: F.struct(x["said"].alias("said"), following(i).alias("next")))))
+    # A frequent answer is dealt to SALTS parts, as a frequent opening is.
+    salted = next_ones.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = said.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int")).join(salted, ["said", "salt"])
+    return met.select("conv_id", F.get("next", F.pmod(F.xxhash64("conv_id", F.lit(1)), F.size("next")).cast("int")).alias("donor_id"))
+
+
+def with_branches(c: DataFrame, p: DataFrame) -> DataFrame:
+    """Rows (chosen_id, rejected_id, made): the natural pairs of `p`, and for each conversation that is in none (it has
+    no partner or one that is rendered alike) the id of its donor, or null."""
+    natural = F.coalesce(~F.col("same"), F.lit(False))
+    p = shared(p)
+    alone = p.filter(~natural).select(F.explode(F.array_compact(F.array("chosen_id", "rejected_id"))).alias("chosen_id"))
+    made = alone.join(donors(c).withColumnsRenamed({"conv_id": "chosen_id", "donor_id": "rejected_id"}), "chosen_id", "left")
+    return p.filter(natural).select("chosen_id", "rejected_id", F.lit(False).alias("made")).unionByName(made.withColumn("made", F.col("rejected_id").isNotNull()))
 
 
 TURNS = "array<struct<role:string,text:string>>"
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-RESULT = "chosen_id long, rejected_id long, prompt_turns long, prompt string, chosen string, chosen_mask array<struct<start:bigint,end:bigint>>, rejected string, rejected_mask array<struct<start:bigint,end:bigint>>"
+RESULT = "chosen_id long, rejected_id long, prompt_turns long, prompt string, chosen string, chosen_mask array<struct<start:bigint,end:bigint>>, rejected string, rejected_mask array<struct<start:bigint,end:bigint>>, made boolean"
 
 
 def format_preferences(c: DataFrame, p: DataFrame) -> DataFrame:
     """Rows of RESULT from conversations (conv_id, turns) and pairs (chosen_id, rejected_id or null), one for each pair.
+    Where `p` has a true column `made`, the rejected one is the `branch` of the chosen one with the other as its donor.
 
     Masks are character ranges, end exclusive. A null role counts as user, a null text as empty.
     """
     own = c.select("conv_id", F.col("turns").cast(TURNS).alias("turns"))
     a = own.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a"))
     b = own.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("b"))
-    joined = p.join(a, "chosen_id").join(b, "rejected_id", "left").select("chosen_id", "rejected_id", "a", "b")
+    made = F.col("made") if "made" in p.columns else F.lit(False)
+    joined = p.select("chosen_id", "rejected_id", made.alias("made")).join(a, "chosen_id").join(b, "rejected_id", "left").select("chosen_id", "rejected_id", "a", "b", "made")
 
     def make():
         def batch(x: pa.RecordBatch) -> pa.RecordBatch:
-            as_turns = lambda v: None if v is None else [(t["role"], t["text"]) for t in v]
-            rows = [format_pair(as_turns(a), as_turns(b)) for a, b in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
+            as_list = lambda x, i: [None if v is None else [(t["role"], t["text"]) for t in v] for v in x.column(i).to_pylist()]
+            sides = zip(as_list(x, 2), as_list(x, 3), x.column(4).to_pylist(), strict=True)
+            rows = [format_pair(a, branch(a, b) if made else b) for a, b, made in sides]
             kinds = {"prompt_turns": pa.int64(), "prompt": pa.string(), "chosen": pa.string(), "chosen_mask": SPAN, "rejected": pa.string(), "rejected_mask": SPAN}
-            return pa.RecordBatch.from_arrays([x.column(0), x.column(1), *(pa.array([r[k] for r in rows], t) for k, t in kinds.items())], names=["chosen_id", "rejected_id", *kinds])
+            return pa.RecordBatch.from_arrays([x.column(0), x.column(1), *(pa.array([r[k] for r in rows], t) for k, t in kinds.items()), x.column(4)], names=["chosen_id", "rejected_id", *kinds, "made"])
 
         return batch
 
@@ -124,4 +180,4 @@ def format_preferences(c: DataFrame, p: DataFrame) -> DataFrame:
 
 def preference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = shared(conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
-    return format_preferences(c, pairs(c))
+    return format_preferences(c, with_branches(c, pairs(c)))

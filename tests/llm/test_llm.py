@@ -371,6 +371,40 @@ def test_pairs_of_a_frequent_opening(spark, monkeypatch):
     assert f["prompt_turns"] == 1 and f["chosen"] == f["rejected"] != ""
 
 
+def test_every_answer_has_a_rejected_branch(spark, tmp_path):
+    """Distinct openings, copies of one conversation, a conversation without an answer, and a natural pair."""
+    say = lambda c, *turns: [(c, k, r, x) for k, (r, x) in enumerate(turns)]
+    data = [t for i in range(30) for t in say(i, ("user", f"q{i}"), ("assistant", "so"), ("user", "more"), ("assistant", f"a{i}"), ("user", "thanks"))]
+    data += [t for i in range(30, 37) for t in say(i, ("user", "copied"), ("assistant", "same"))]
+    data += say(40, ("user", "silent")) + say(41, ("user", "both"), ("assistant", "long one")) + say(42, ("user", "both"), ("assistant", "one")) + say(43, ("user", "x"), ("assistant", None))
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = chat.preference_report(spark, str(tmp_path)).collect()
+    by = {r.chosen_id: r for r in got}
+    assert len(by) == len(got) and set(by) == {*range(37), 40, 41, 43}
+    assert {i for i, r in by.items() if r.rejected is None} == {40} and {i for i, r in by.items() if not r.made} == {40, 41}
+    assert by[41].rejected_id == 42
+    turns = {}
+    for c, _, role, text in data:
+        turns.setdefault(c, []).append((role, text))
+    for i in {*range(37), 43}:
+        r, k = by[i], max(k for k, t in enumerate(turns[i]) if t[0] == "assistant")
+        answer = [t for t in turns[r.rejected_id] if t[0] == "assistant"][-1]
+        assert r.prompt_turns == k and r.prompt == "".join(chat.render(t)[0] for t in turns[i][:k])
+        assert r.chosen == "".join(chat.render(t)[0] for t in turns[i][k:]) and r.rejected == chat.render(answer)[0] != chat.render(turns[i][k])[0]
+        assert [r.rejected[m.start : m.end] for m in r.rejected_mask] == [(answer[1] or "") + chat.END]
+        assert [r.chosen[m.start : m.end] for m in r.chosen_mask] == [(turns[i][k][1] or "") + chat.END]
+
+
+def test_donors_of_frequent_and_single_answers(spark, monkeypatch):
+    monkeypatch.setattr(chat, "AT_ONCE", 10)
+    t = "conv_id long, turn long, role string, text string"
+    data = [(i, 0, "assistant", "same" if i < 60 else f"a{i}") for i in range(200)]
+    got = {r.conv_id: r.donor_id for r in chat.donors(chat.conversations(spark.createDataFrame(data, t))).collect()}
+    assert set(got) == set(range(200)) and all(data[a][3] != data[b][3] for a, b in got.items())
+    assert 1 < len({got[i] for i in range(60)}) <= chat.DONORS
+    assert chat.donors(chat.conversations(spark.createDataFrame(data[:60], t))).count() == 0
+
+
 # the pipeline
 
 
