@@ -1,7 +1,7 @@
 """License scans, in DataFrame functions only.
 
 Statements are the lines of a whole text that hold a cue; a license file (by its name, or because statements make up
-half of its words) counts as one statement as a whole. Statements and templates are sparse TF-IDF vectors; document
+half of its words) counts as one statement as a whole, which is compared with complete license texts too. Statements and templates are sparse TF-IDF vectors; document
 frequencies come from all statements of the corpus. A file's own license is the template of the highest cosine, from
 LEAST on. A file without one inherits that of the license file in its nearest ancestor directory, found by joins of
 directory paths.
@@ -11,6 +11,9 @@ Equal statements are scored once, however often they occur; what is joined back
 
 from __future__ import annotations
 
+from functools import cache
+from importlib.resources import files as resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,13 @@ TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.6
 
 
+@cache
+def complete_texts() -> list[tuple[str, str]]:
+    """Complete license texts by SPDX identifier. A text alone doesn't say `or later`, so it counts as `only`."""
+    found = resources("tessella.llm").joinpath("license_texts").iterdir()
+    return sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in found if f.name.endswith(".txt"))
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
@@ -65,25 +75,30 @@ def counted(units: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def scored(units: DataFrame) -> DataFrame:
-    """Rows (unit, spdx, score): each distinct statement's best template, from rows (unit), repeated as they occur."""
+    """Rows (unit, whole, spdx, score): each distinct statement's best template, from rows (unit, whole), repeated as
+    they occur. Whole files are compared with complete texts as well."""
     spark = units.sparkSession
-    distinct = shared(units.groupBy("unit").agg(F.count("*").alias("n")))
-    tf = shared(counted(distinct, "unit", "unit").join(distinct, "unit"))
+    distinct = shared(units.groupBy("unit", "whole").agg(F.count("*").alias("n")).withColumn("k", F.monotonically_increasing_id()))
+    tf = shared(counted(distinct, "k", "unit").join(distinct.select("k", "whole", "n"), "k"))
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     df = tf.groupBy("term").agg(F.sum("n").alias("df"))
     idf = lambda: F.log(F.lit(total + 1) / (F.coalesce("df", F.lit(0)) + 1)) + F.lit(1.0)
-    templates = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(TEMPLATES)], "template int, spdx string, body string")
-    t = counted(templates, "template", "body").join(df, "term", "left").select("template", "term", (F.col("tf") * idf()).alias("tw"))
-    t = shared(t)  # a few hundred rows: the terms of TEMPLATES
+    bodies = [(s, t, False) for s, t in TEMPLATES] + [(s, t, True) for s, t in complete_texts()]
+    templates = spark.createDataFrame([(i, s, c) for i, (s, _, c) in enumerate(bodies)], "template int, spdx string, complete boolean")
+    texts = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(bodies)], "template int, body string")
+    t = counted(texts, "template", "body").join(df, "term", "left").select("template", "term", (F.col("tf") * idf()).alias("tw"))
+    t = shared(t.join(F.broadcast(templates.select("template", "complete")), "template"))  # some 15,000 rows: the terms of all templates
     t_norm = t.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("t_norm"))
-    w = tf.join(df, "term").select("unit", "term", (F.col("tf") * idf()).alias("w"))
+    w = tf.join(df, "term").select("k", "whole", "term", (F.col("tf") * idf()).alias("w"))
     w = shared(w)
-    norm = w.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = w.join(F.broadcast(t), "term").groupBy("unit", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    norm = w.groupBy("k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    met = w.join(F.broadcast(t), (w["term"] == t["term"]) & (w["whole"] | ~t["complete"]))
+    dots = met.groupBy("k", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     names = templates.select("template", "spdx").join(t_norm, "template")
-    cos = dots.join(norm, "unit").join(F.broadcast(names), "template").select("unit", "spdx", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("score"))
-    best = cos.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("spdx").alias("spdx"))).alias("b"))
-    return best.select("unit", F.col("b.spdx").alias("spdx"), (-F.col("b.minus")).alias("score")).filter(F.col("score") >= LEAST)
+    cos = dots.join(norm, "k").join(F.broadcast(names), "template").select("k", "spdx", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("score"))
+    best = cos.groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("spdx").alias("spdx"))).alias("b"))
+    best = best.select("k", F.col("b.spdx").alias("spdx"), (-F.col("b.minus")).alias("score")).filter(F.col("score") >= LEAST)
+    return best.join(distinct, "k").select("unit", "whole", "spdx", "score")
 
 
 def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str) -> DataFrame:
@@ -98,12 +113,13 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str) -
     named = F.lower("path").rlike(FILE_NAME)
     much = F.when(F.size("lines") > 0, word_count(F.array_join("lines", " ")) * 2 >= word_count(F.col("text"))).otherwise(F.lit(False))
     d = d.withColumn("license_file", F.coalesce(named, F.lit(False)) | much)
-    units = F.when(F.col("license_file") & (F.col("text") != ""), F.array("text")).otherwise(F.col("lines"))
-    d = shared(d.select(F.monotonically_increasing_id().alias("row"), "id", "path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.size("lines").cast("long").alias("n_statements"), "license_file", units.alias("units")))
-    u = d.select("row", F.explode("units").alias("unit"))
-    best = scored(u.select("unit"))
-    own = u.join(best, "unit").groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("spdx").alias("spdx"))).alias("b")).select("row", F.col("b.spdx").alias("own_license"), (-F.col("b.minus")).alias("own_score"))
-    d = shared(d.drop("units").join(own, "row", "left"))
+    whole = F.col("license_file") & (F.col("text") != "")
+    units = F.when(whole, F.array("text")).otherwise(F.col("lines"))
+    d = shared(d.select(F.monotonically_increasing_id().alias("row"), "id", "path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.size("lines").cast("long").alias("n_statements"), "license_file", whole.alias("whole"), units.alias("units")))
+    u = d.select("row", "whole", F.explode("units").alias("unit"))
+    best = scored(u.select("unit", "whole"))
+    own = u.join(best, ["unit", "whole"]).groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("spdx").alias("spdx"))).alias("b")).select("row", F.col("b.spdx").alias("own_license"), (-F.col("b.minus")).alias("own_score"))
+    d = shared(d.drop("units", "whole").join(own, "row", "left"))
     holders = d.filter("license_file and own_license is not null and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("minus"), F.col("own_license").alias("spdx"))).alias("b")).select(F.col("dir").alias("above"), F.col("b.spdx").alias("spdx"))
     dirs = d.filter("own_license is null and dir is not null").select("dir").distinct()
     parts = F.split("dir", "/", -1)

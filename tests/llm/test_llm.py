@@ -340,6 +340,16 @@ def test_licenses(spark):
     assert licenses.scan_licenses(d.limit(0), "id", "path", "text").count() == 0
 
 
+def test_complete_license_files(spark):
+    """Full texts in LICENSE files with a line of their own, and files below them; a short statement is not a text."""
+    texts, body = dict(licenses.complete_texts()), "words of a file that says nothing about it " * 3
+    assert {"Apache-2.0", "AGPL-3.0-only", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MIT", "MPL-2.0"} <= set(texts)
+    data = [(f"{s}/{i}", f"/{s}/{p}", t) for s, text in texts.items() for i, (p, t) in enumerate([("COPYING", f"Copyright 2020 Some One\n\n{text}"), ("a/b/f.c", body)])]
+    data += [("own", "/GPL-2.0-only/x.txt", body + "\nReleased under the MIT License.")]
+    got = {r.id: (r.own_license, r.license, r.inherited_from) for r in licenses.scan_licenses(spark.createDataFrame(data, "id string, path string, text string"), "id", "path", "text").collect()}
+    assert got == {"own": ("MIT", "MIT", None)} | {f"{s}/{i}": x for s in texts for i, x in enumerate([(s, s, None), (None, s, f"/{s}")])}
+
+
 # 10: chat
 
 
