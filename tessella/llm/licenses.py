@@ -3,7 +3,8 @@
 Statements are the lines of a whole text that hold a cue; a license file (by its name, or because statements make up
 half of its words) counts as one statement as a whole, which is compared with complete license texts too. Statements and templates are sparse TF-IDF vectors; document
 frequencies come from all statements of the corpus. A file's own license is the template of the highest cosine, from
-LEAST on. A file without one inherits that of the license file in its nearest ancestor directory, found by joins of
+LEAST on. Headers wrapped over lines are put together again: comment blocks and paragraphs around a cue are scored
+too, but don't count in document frequencies, since their lines are there already. A file without one inherits that of the license file in its nearest ancestor directory, found by joins of
 directory paths.
 
 Equal statements are scored once, however often they occur; what is joined back is a few bytes for each statement.
@@ -47,10 +48,27 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 CUE = r"licen[cs]e|copyright|spdx|all rights reserved|public domain|creative commons|permission is hereby|permission to use"
+#: Cues of blocks: those above, also broken over lines and comment marks, and those of headers that don't say `license`.
+GAP = "[^a-z0-9]+"
+BLOCK_CUE = CUE.replace(" ", GAP) + f"|redistribution|hereby{GAP}granted|free{GAP}software"
+#: Statements that headers are compared with besides TEMPLATES, so that they aren't taken for their nearest relatives.
+HEADERS = [
+    ("GPL-2.0-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+]
+#: Where comments begin and end, what marks a line as a comment, and lines of nothing but decoration.
+DELIMITER = r"/\*+|\*+/|<!--|-->|\"\"\"|'''"
+MARK = r"[ \t]*(?:#|//|--|;|%|!|\"|dnl\b|rem\b)"
+DECORATION = r"[ \t#/*;%!\"'=~+|_-]*"
+CUT = "\x01"
 FILE_NAME = r"(^|/)(un)?(licen[cs]e|copying|notice)[^/]*$"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-#: Least cosine of a match.
+#: Least cosine of a match. Prose shares many a "the" and "of" with a long text: of a complete text, and of any template
+#: if the unit is a block, that many of its distinct terms must be there too.
 LEAST = 0.6
+LEAST_TERMS = 0.5
 
 
 @cache
@@ -66,7 +84,22 @@ def terms(text: Column) -> Column:
 
 def statements(text: Column) -> Column:
     """Lines of a text that hold a cue."""
-    return F.when(F.lower(text).rlike(CUE), F.filter(F.split(text, "\n", -1), lambda x: F.lower(x).rlike(CUE))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.lower(text).rlike(BLOCK_CUE), F.filter(F.split(text, "\n", -1), lambda x: F.lower(x).rlike(CUE))).otherwise(F.array().cast("array<string>"))
+
+
+def blocks(text: Column) -> Column:
+    """Paragraphs and comment blocks of a text that hold a cue, each as one line without comment marks. A block is what
+    lies between comment delimiters, or a run of lines that all have or all lack a comment mark."""
+    flat = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n[ \t\x0B\f\n]*\n", "\n\n")
+    cut = F.regexp_replace(flat, DELIMITER, f"\n{CUT}\n")
+    cut = F.regexp_replace(cut, rf"(?mi)^(?!{MARK})([ \t]*\S.*\n)(?=\n?{MARK})", f"$1{CUT}\n")
+    cut = F.regexp_replace(cut, rf"(?mi)^({MARK}.*\n)(?=\n?[ \t]*\S)(?!\n?{MARK})", f"$1{CUT}\n")
+    runs = F.split(cut, CUT, -1)
+    paragraphs = lambda t: F.split(t, rf"(?i)\n(?:[ \t]*(?:dnl|rem)\b)?{DECORATION}\n", -1)
+    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, rf"(?mi)^(?:[ \t]*(?:dnl|rem)\b)?{DECORATION}", " "), r"\s+", " "))
+    found = F.concat(paragraphs(flat), runs, F.flatten(F.transform(runs, paragraphs)))
+    kept = F.filter(F.array_distinct(F.transform(found, bare)), lambda x: F.lower(x).rlike(BLOCK_CUE))
+    return F.when(F.lower(text).rlike(BLOCK_CUE), kept).otherwise(F.array().cast("array<string>"))
 
 
 def counted(units: DataFrame, key: str, text: str) -> DataFrame:
@@ -75,30 +108,32 @@ def counted(units: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def scored(units: DataFrame) -> DataFrame:
-    """Rows (unit, whole, spdx, score): each distinct statement's best template, from rows (unit, whole), repeated as
-    they occur. Whole files are compared with complete texts as well."""
+    """Rows (unit, kind, spdx, score): each distinct statement's best template, from rows (unit, kind), repeated as they
+    occur. A kind is line, file or block; files and blocks are compared with complete texts and HEADERS as well. Blocks
+    don't count in document frequencies."""
     spark = units.sparkSession
-    distinct = shared(units.groupBy("unit", "whole").agg(F.count("*").alias("n")).withColumn("k", F.monotonically_increasing_id()))
-    tf = shared(counted(distinct, "k", "unit").join(distinct.select("k", "whole", "n"), "k"))
+    distinct = shared(units.groupBy("unit", "kind").agg(F.sum(F.when(F.col("kind") == "block", 0).otherwise(1)).alias("n")).withColumn("k", F.monotonically_increasing_id()))
+    tf = shared(counted(distinct, "k", "unit").join(distinct.select("k", "kind", "n"), "k"))
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     df = tf.groupBy("term").agg(F.sum("n").alias("df"))
     idf = lambda: F.log(F.lit(total + 1) / (F.coalesce("df", F.lit(0)) + 1)) + F.lit(1.0)
-    bodies = [(s, t, False) for s, t in TEMPLATES] + [(s, t, True) for s, t in complete_texts()]
+    bodies = [(s, t, False) for s, t in TEMPLATES] + [(s, t, True) for s, t in [*HEADERS, *complete_texts()]]
     templates = spark.createDataFrame([(i, s, c) for i, (s, _, c) in enumerate(bodies)], "template int, spdx string, complete boolean")
     texts = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(bodies)], "template int, body string")
     t = counted(texts, "template", "body").join(df, "term", "left").select("template", "term", (F.col("tf") * idf()).alias("tw"))
     t = shared(t.join(F.broadcast(templates.select("template", "complete")), "template"))  # some 15,000 rows: the terms of all templates
-    t_norm = t.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("t_norm"))
-    w = tf.join(df, "term").select("k", "whole", "term", (F.col("tf") * idf()).alias("w"))
+    t_norm = t.groupBy("template", "complete").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("t_norm"), F.count("*").alias("t_terms"))
+    w = tf.join(df, "term").select("k", "kind", "term", (F.col("tf") * idf()).alias("w"))
     w = shared(w)
     norm = w.groupBy("k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    met = w.join(F.broadcast(t), (w["term"] == t["term"]) & (w["whole"] | ~t["complete"]))
-    dots = met.groupBy("k", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    met = w.join(F.broadcast(t), (w["term"] == t["term"]) & ((w["kind"] != "line") | ~t["complete"]))
+    dots = met.groupBy("k", "kind", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.count("*").alias("met"))
+    enough = (F.col("met") >= F.col("t_terms") * LEAST_TERMS) | ((F.col("kind") != "block") & ~F.col("complete"))
     names = templates.select("template", "spdx").join(t_norm, "template")
-    cos = dots.join(norm, "k").join(F.broadcast(names), "template").select("k", "spdx", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("score"))
+    cos = dots.join(norm, "k").join(F.broadcast(names), "template").filter(enough).select("k", "spdx", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("score"))
     best = cos.groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("spdx").alias("spdx"))).alias("b"))
     best = best.select("k", F.col("b.spdx").alias("spdx"), (-F.col("b.minus")).alias("score")).filter(F.col("score") >= LEAST)
-    return best.join(distinct, "k").select("unit", "whole", "spdx", "score")
+    return best.join(distinct, "k").select("unit", "kind", "spdx", "score")
 
 
 def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str) -> DataFrame:
@@ -114,12 +149,14 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str) -
     much = F.when(F.size("lines") > 0, word_count(F.array_join("lines", " ")) * 2 >= word_count(F.col("text"))).otherwise(F.lit(False))
     d = d.withColumn("license_file", F.coalesce(named, F.lit(False)) | much)
     whole = F.col("license_file") & (F.col("text") != "")
-    units = F.when(whole, F.array("text")).otherwise(F.col("lines"))
-    d = shared(d.select(F.monotonically_increasing_id().alias("row"), "id", "path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.size("lines").cast("long").alias("n_statements"), "license_file", whole.alias("whole"), units.alias("units")))
-    u = d.select("row", "whole", F.explode("units").alias("unit"))
-    best = scored(u.select("unit", "whole"))
-    own = u.join(best, ["unit", "whole"]).groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("spdx").alias("spdx"))).alias("b")).select("row", F.col("b.spdx").alias("own_license"), (-F.col("b.minus")).alias("own_score"))
-    d = shared(d.drop("units", "whole").join(own, "row", "left"))
+    unit = lambda kind: lambda x: F.struct(x.alias("unit"), F.lit(kind).alias("kind"))
+    parts = F.concat(F.transform("lines", unit("line")), F.transform(blocks(F.col("text")), unit("block")))
+    units = F.when(whole, F.array(unit("file")(F.col("text")))).otherwise(parts)
+    d = shared(d.select(F.monotonically_increasing_id().alias("row"), "id", "path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.size("lines").cast("long").alias("n_statements"), "license_file", units.alias("units")))
+    u = d.select("row", F.inline("units"))
+    best = scored(u.drop("row"))
+    own = u.join(best, ["unit", "kind"]).groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("spdx").alias("spdx"))).alias("b")).select("row", F.col("b.spdx").alias("own_license"), (-F.col("b.minus")).alias("own_score"))
+    d = shared(d.drop("units").join(own, "row", "left"))
     holders = d.filter("license_file and own_license is not null and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("minus"), F.col("own_license").alias("spdx"))).alias("b")).select(F.col("dir").alias("above"), F.col("b.spdx").alias("spdx"))
     dirs = d.filter("own_license is null and dir is not null").select("dir").distinct()
     parts = F.split("dir", "/", -1)

@@ -350,6 +350,33 @@ def test_complete_license_files(spark):
     assert got == {"own": ("MIT", "MIT", None)} | {f"{s}/{i}": x for s in texts for i, x in enumerate([(s, s, None), (None, s, f"/{s}")])}
 
 
+def test_wrapped_headers(spark):
+    """Headers over several lines in all kinds of comments, with code or prose around them."""
+    import textwrap
+
+    texts, short = dict(licenses.complete_texts()), {s: t for s, t in licenses.TEMPLATES + licenses.HEADERS}
+    wrapped = {s: textwrap.wrap(short[s], 50) for s in ("GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later", "MPL-2.0", "BSD-3-Clause", "ISC", "Apache-2.0", "CC0-1.0")}
+    whole = {s: texts[s].strip().split("\n") for s in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")}
+    code = "int main() {\n  return words + of + code;\n}\n" * 5
+    # a file that a header stands in: C, C without inner marks, line comments, a plain paragraph
+    ways = {
+        "c": lambda h: "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in ["Copyright 2020 Some One", "", *h]) + " */\n" + code,
+        "open": lambda h: "/* " + "\n   ".join(h) + " */\n" + code,
+        "hash": lambda h: "#!/bin/sh\n#\n" + "".join(f"# {x}".rstrip() + "\n" for x in h) + "\n" + code,
+        "tight": lambda h: code + "".join(f"// {x}".rstrip() + "\n" for x in h) + code,
+        "dnl": lambda h: "".join(f"dnl {x}".rstrip() + "\n" for x in h) + code,
+        "plain": lambda h: "Words of a file.\n\n" + "\n".join(h) + "\n\nMore of them.\n",
+        "crlf": lambda h: "Words of a file.\r\n\r\n" + "\r\n".join(h) + "\r\n\r\nMore of them.\r\n",
+    }
+    data = [(f"{s}/{kind}/{w}", f"/{s}/{kind}.{w}", f(h)) for kind, of in (("wrapped", wrapped), ("whole", whole)) for s, h in of.items() for w, f in ways.items()]
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\nRedistributions of source code must retain the above copyright notice,\nthis list of conditions and the following disclaimer.\n"
+    prose = " ".join("the of and to any or in is by".split()[i * i % 9] + (f" w{i}" if i % 3 == 0 else "") for i in range(2000)) + "\nAll rights reserved."
+    data += [("None/prose", "/prose.txt", prose), ("BSD-3-Clause/review", "/bsd.c", bsd), ("None/code", "/code.c", "/* copyright and redistribution of poems */\n" + code)]
+    got = {r.id: r.own_license for r in licenses.scan_licenses(spark.createDataFrame(data, "id string, path string, text string"), "id", "path", "text").collect()}
+    wrong = {k: v for k, v in got.items() if str(v) != k.split("/")[0]}
+    assert len(got) == len(data) and not wrong
+
+
 # 10: chat
 
 
