@@ -17,6 +17,7 @@ def main(args: list[str]) -> int:
     for name in ("evaluate", "train", "submit"):
         s = sub.add_parser(name)
         s.add_argument("sources", nargs="+", help="the reference first")
+        s.add_argument("--embeddings", help="a table (entity_id, embedding) of names' unit vectors")
         if name != "submit":
             s.add_argument("--truth", required=True)
             s.add_argument("--s1-every", type=int, default=20 if name == "evaluate" else 1)
@@ -31,12 +32,12 @@ def main(args: list[str]) -> int:
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("tessella").getOrCreate()
     if a.what == "evaluate":
-        print(json.dumps(runs.evaluate(spark, a.sources, a.truth, a.s1_every, a.cache)))
+        print(json.dumps(runs.evaluate(spark, a.sources, a.truth, a.s1_every, a.cache, a.embeddings)))
         return 0
     if a.what == "train":
-        print(json.dumps(runs.train(spark, a.sources, a.truth, a.out, a.s1_every)))
+        print(json.dumps(runs.train(spark, a.sources, a.truth, a.out, a.s1_every, a.embeddings)))
         return 0
-    report = runs.submit(spark, a.sources, a.out, a.model, a.threshold, a.s1_limit)
+    report = runs.submit(spark, a.sources, a.out, a.model, a.threshold, a.s1_limit, a.embeddings)
     print(json.dumps(report))
     return int(any(r["severity"] == "error" and r["offenders"] for r in report))
 

@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame
 
 from tessella.operators import blocking, features, records, scoring
 from tessella.operators.assignment import assign
+from tessella.sources import tables
 from tessella.sources.shared import shared
 
 
 class Matching:
-    """Lazy steps over source records (entity_id, business_name, business_address, country)."""
+    """Lazy steps over source records (entity_id, business_name, business_address, country). With `embeddings`
+    (entity_id, embedding), unit vectors of names, targets whose names are not Latin are scored by their cosines."""
 
-    def __init__(self, source: DataFrame, how: blocking.Blocking = blocking.Blocking(), sample_every: int = 1):
-        self.source, self.how, self.sample_every = source, how, sample_every
+    def __init__(self, source: DataFrame, how: blocking.Blocking = blocking.Blocking(), sample_every: int = 1, embeddings: DataFrame | None = None):
+        self.source, self.how, self.sample_every, self.embeddings = source, how, sample_every, embeddings
+        self.cos = None if embeddings is None else "emb_cos"
 
     @cached_property
     def norm(self) -> DataFrame:
@@ -38,18 +41,22 @@ class Matching:
     def pairs(self) -> DataFrame:
         return shared(blocking.candidate_pairs(self.keys, self.how))
 
+    def with_cosines(self, pairs: DataFrame) -> DataFrame:
+        """`pairs`, with emb_cos if there are embeddings."""
+        return pairs if self.cos is None else tables.embedding_cosines(pairs, self.embeddings, self.norm)
+
     @cached_property
     def joined(self) -> DataFrame:
-        return scoring.with_records(self.pairs, self.weighed)
+        return scoring.with_records(self.with_cosines(self.pairs), self.weighed)
 
     @cached_property
     def gated(self) -> DataFrame:
-        return scoring.gated(self.joined)
+        return scoring.gated(self.joined, cos=self.cos)
 
     @cached_property
     def scored(self) -> DataFrame:
         """Gated pairs with all their columns and the rounded score."""
-        return scoring.rounded(scoring.scored(self.gated))
+        return scoring.rounded(scoring.scored(self.gated, cos=self.cos))
 
     @cached_property
     def ranked(self) -> DataFrame:
@@ -59,8 +66,8 @@ class Matching:
     @cached_property
     def featured(self) -> DataFrame:
         """`ranked` candidates with every feature."""
-        d = scoring.with_records(self.ranked.select("s1_id", "target_id", "score"), self.weighed)
-        d = features.pair_features(d).select("s1_id", "target_id", "score", *features.PAIR)
+        d = scoring.with_records(self.with_cosines(self.ranked.select("s1_id", "target_id", "score")), self.weighed)
+        d = features.pair_features(d, cos=self.cos).select("s1_id", "target_id", "score", *features.PAIR)
         return features.competition(features.cross_source(d, self.norm))
 
     def chosen(self, prob: str = "score") -> DataFrame:

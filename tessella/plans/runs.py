@@ -25,16 +25,24 @@ def read_all(spark: SparkSession, paths: list[str], s1_every: int = 1) -> DataFr
     return d.filter((F.substring("entity_id", 1, 2) != "S1") | records.keep_every(number, s1_every))
 
 
+def vectors(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """The table of name embeddings at `path`; a path without a table raises ValueError."""
+    found = None if path is None else tables.read_embeddings(spark, path)
+    if path is not None and found is None:
+        raise ValueError(f"{path}: no embeddings")
+    return found
+
+
 def truths(spark: SparkSession, source: DataFrame, path: str) -> DataFrame:
     """Rows (s1_id, country, matched) for the reference records of `source`."""
     s1 = source.filter("entity_id like 'S1-%'").select(F.col("entity_id").alias("s1_id"), "country")
     return s1.join(tables.read_truth(spark, path), "s1_id", "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
 
 
-def evaluate(spark: SparkSession, paths: list[str], truth_path: str, s1_every: int = 20, cache: str | None = None) -> dict:
+def evaluate(spark: SparkSession, paths: list[str], truth_path: str, s1_every: int = 20, cache: str | None = None, embeddings: str | None = None) -> dict:
     """Recall, best threshold and breakdown of the rule score on a sample of the reference against all targets."""
     source = read_all(spark, paths, s1_every)
-    m, truth = Matching(source), shared(truths(spark, source, truth_path))
+    m, truth = Matching(source, embeddings=vectors(spark, embeddings)), shared(truths(spark, source, truth_path))
     sweep = scoring.sweep(m.ranked, truth, SWEEP).orderBy("threshold").collect()
     best = next((r.threshold for r in sweep if r.best), RULE_THRESHOLD)
     if cache:
@@ -49,24 +57,24 @@ def evaluate(spark: SparkSession, paths: list[str], truth_path: str, s1_every: i
     }
 
 
-def train(spark: SparkSession, paths: list[str], truth_path: str, out: str, s1_every: int = 1, **how) -> list[tuple[str, float]]:
+def train(spark: SparkSession, paths: list[str], truth_path: str, out: str, s1_every: int = 1, embeddings: str | None = None, **how) -> list[tuple[str, float]]:
     """Learn from files and save the model; gives the most important features."""
     source = read_all(spark, paths, s1_every)
-    m = Matching(source)
+    m = Matching(source, embeddings=vectors(spark, embeddings))
     data = shared(model.split(model.label(m.featured, metrics.links(truths(spark, source, truth_path)))))
     fitted = model.train(data, **how)
     model.save(fitted, out, True)
     return model.importances(fitted)
 
 
-def submit(spark: SparkSession, paths: list[str], out: str, model_path: str | None = None, threshold: float = RULE_THRESHOLD, limit: int | None = None) -> list[dict]:
+def submit(spark: SparkSession, paths: list[str], out: str, model_path: str | None = None, threshold: float = RULE_THRESHOLD, limit: int | None = None, embeddings: str | None = None) -> list[dict]:
     """Write matching_results and candidate_pairs, one line for each reference record in file order; gives the checks'
     report. With a model sets are chosen by expected F_0.5 and every target gets one owner, else by the threshold."""
     first, *rest = (tables.read_source(spark, p) for p in paths)
     if limit is not None:
         first = tables.first_rows(first, limit)
     first = shared(first)
-    m = Matching(reduce(DataFrame.unionByName, rest, first).drop("ordinal"))
+    m = Matching(reduce(DataFrame.unionByName, rest, first).drop("ordinal"), embeddings=vectors(spark, embeddings))
     if model_path:
         fitted, _ = model.load(model_path)
         scored = model.apply(fitted, m.featured).select("s1_id", "target_id", (F.col("rank") + 1).cast("int").alias("rank"), "prob")
