@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tessella.operators.features import columns
 
 SEED = 42
+#: As the reference has them: a bound of rounds, and a depth of its 127 leaves.
+MOST_ROUNDS, DEPTH = 4000, 7
 
 
 def split(df: DataFrame, key: str = "s1_id") -> DataFrame:
@@ -29,8 +31,9 @@ def label(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(true, ["s1_id", "target_id"], "left").withColumn("label", F.coalesce("hit", F.lit(0)).cast("double")).drop("hit")
 
 
-def train(data: DataFrame, cross_source: bool = True, rounds: int = 20, depth: int = 5) -> PipelineModel:
-    """Boosted trees on rows (features, label, part); the calibration part stops training early."""
+def train(data: DataFrame, cross_source: bool = True, rounds: int = MOST_ROUNDS, depth: int = DEPTH) -> PipelineModel:
+    """Boosted trees on rows (features, label, part). The calibration part ends training: at the first round whose gain
+    there is under a hundredth of the loss (Spark's validationTol); `rounds` is only a bound that should not bind."""
     d = data.filter("part <> 'test'").withColumn("held", F.col("part") == "calibrate")
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.9", minInstancesPerNode=5, seed=SEED, validationIndicatorCol="held")
     return Pipeline(stages=[VectorAssembler(inputCols=columns(cross_source), outputCol="features"), trees]).fit(d)

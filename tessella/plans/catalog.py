@@ -278,7 +278,7 @@ def gbt_scores(spark, d):
     """Probabilities of boosted trees, learned from the silver truth."""
     m = matching(spark, d)
     data = model.split(model.label(m.featured, metrics.links(adapters.truth(spark, d)))).persist()
-    fitted = model.train(data, rounds=5, depth=3)
+    fitted = model.train(data)
     return model.apply(fitted, data).select("s1_id", "target_id", "part", "label", F.round(F.col("prob").cast("double"), 6).alias("prob"))
 
 

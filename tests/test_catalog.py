@@ -62,6 +62,15 @@ def test_model_round_trip(spark, tmp_path):
     assert [c for c in features.FEATURES if c not in features.CROSS] == model.columns(False)
 
 
+def test_validation_ends_training(spark):
+    """More rounds than the former 20, fewer than the bound: the calibration part decides."""
+    h = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000
+    d = spark.range(600).select(F.concat(F.lit("S1-"), F.col("id").cast("string")).alias("s1_id"), h.alias("h"), *(h.alias(c) for c in features.FEATURES))
+    d = d.filter("h < 0.4 or h > 0.6")
+    fitted = model.train(model.split(d.withColumn("label", (F.col("h") > 0.5).cast("double"))).coalesce(1).cache())
+    assert 20 < fitted.stages[1].getNumTrees < model.MOST_ROUNDS
+
+
 def test_parts_resume(spark, tmp_path):
     schema = "country string, chunk int, s1_id string"
     all_parts = spark.createDataFrame([("US", 0, "a"), ("US", 1, "b"), ("FR", 0, "c")], schema)
