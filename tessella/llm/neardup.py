@@ -1,19 +1,21 @@
 """Near-duplicates by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
 1. Each document's set of word shingles gives its size, a digest, and HASHES minima. Equal sets (exact copies among
-   them) become one class, represented by its least id; everything below works on classes.
-2. The forest: TREES sorted orders of the signatures, each by DEPTH minima of its own. Classes that share the first
-   LEAST_DEPTH minima of an order are a region; neighbours by longest common prefix stand next to each other in it.
-   Within a region a 2-bit sketch of all minima tells which may be similar. The depth adapts
-   to the region: in a sparse one all classes are compared from LEAST_DEPTH on; in one of over LAGS + 1 the neighbours
-   in sorted order, those of the deepest common prefixes, come first. One of over REGION classes would lose pairs if it
-   were cut at a deeper prefix; it is divided into blocks, and every pair of blocks is looked at as a region of its
-   own, so no task gets more than two blocks and no pair is lost.
+   them) become one class with a number of its own; everything below works on classes, so ids may repeat.
+2. The forest: TREES sorted orders of the signatures, each by DEPTH minima of its own. Classes that share a prefix of
+   an order are a region. Its depth adapts: a region of more than REGION classes at LEAST_DEPTH minima is taken one
+   minimum deeper, again and again, so that dense parts of an order are cut finer than sparse ones. Within a region
+   classes stand in the order of their remaining minima; each is compared by a 2-bit sketch of all minima with the
+   neighbours of the longest common prefixes, and in regions of over LAGS + 1 with the others too.
+   What is still larger at DEPTH minima shares so much that it is one candidate group as a whole, without comparison.
 3. Components of these candidates are clusters. A cluster's full sets are compared in one task if it has up to CLUSTER
-   classes. A larger one is divided into blocks; blocks are first compared in themselves, then every pair of blocks
-   that still holds different components. Pairs that are already connected need no comparison.
+   classes. A larger one is divided into blocks; blocks are first compared in themselves, then sketches of classes from
+   different components, and then the full sets of those that may be similar. Pairs that are already connected need no
+   comparison, so a large group of copies costs as many comparisons as it has classes.
 
-At a similarity of exactly 0.8 a pair shares no region with probability (1 - 0.8**3)**20 = 6e-7, less above it.
+At a similarity of exactly 0.8 a pair shares no region of LEAST_DEPTH with probability (1 - 0.8**3)**20 = 6e-7; if all
+its regions were dense and taken to DEPTH, with probability (1 - 0.8**6)**20 = 2e-3, unless they stay dense there. Links
+above that are lost less often, and a document of several links is found by any of them.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from tessella.llm.components import components, root
 
 HASHES, TREES, DEPTH, LEAST_DEPTH = 128, 20, 6, 3
 REGION, CLUSTER, LAGS = 2048, 256, 7
-BROADCAST_ROWS, BROADCAST_IDS = 100_000, 2_000_000
+BROADCAST_ROWS, BROADCAST_IDS = 100_000, 1_000_000
 WORDS_KEPT = 300_000
 #: Sketch positions of HASHES that must agree. Pairs of similarity 0.8 agree in 0.85 of them; 80 lies 7 deviations lower.
 AGREE = 80
@@ -156,7 +158,7 @@ def may_link(n: np.ndarray, s: np.ndarray, i, j, percent: int) -> np.ndarray:
 
 
 def region_candidates(percent: int):
-    """Candidate edges from rows (region, key, id, n, sketch), sorted by region and key."""
+    """Candidate edges from rows (region, key, node, n, sketch), sorted by region and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches):
@@ -189,39 +191,78 @@ def region_candidates(percent: int):
     return run
 
 
+def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (region, key, node, n, sketch) of every class in every order, the region by the least depth at which it has
+    up to REGION classes; and rows (region, node) of regions that have more at DEPTH, if there are any."""
+    width = 4 * DEPTH
+    orders = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(F.col("minima"), t * width + 1, F.lit(width)))).alias("tree", "order")
+    open_rows = reps.select("node", "n", "sketch", orders)
+    done = None
+    for depth in range(LEAST_DEPTH, DEPTH + 1):
+        rows = open_rows.withColumn("region", F.xxhash64("tree", F.lit(depth), F.substring("order", 1, 4 * depth)))
+        dense = shared(rows.groupBy("region").agg(F.count("*").alias("in_region")).filter(F.col("in_region") > REGION).select("region"))
+        n_dense = dense.count()
+        hint = bounded_broadcast(dense, n_dense, BROADCAST_ROWS)
+        fits = rows.join(hint, "region", "left_anti") if n_dense else rows
+        fits = fits.select("region", F.substring("order", 4 * depth + 1, width).alias("key"), "node", "n", "sketch")
+        done = fits if done is None else done.unionByName(fits)
+        if not n_dense:
+            return done, None
+        open_rows = rows.join(hint, "region", "left_semi")
+    return done, open_rows.select("region", "node")
+
+
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect all classes which share a region and whose sketches allow the similarity."""
-    width = 4 * DEPTH
-    rows = reps.select("id", "n", "sketch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(F.col("minima"), t * width + 1, F.lit(width)))).alias("tree", "order"))
-    rows = rows.select(F.xxhash64("tree", F.substring("order", 1, 4 * LEAST_DEPTH)).alias("region"), F.substring("order", 4 * LEAST_DEPTH + 1, width).alias("key"), "id", "n", "sketch")
-    hot = shared(rows.groupBy("region").agg(F.count("*").alias("in_region")).filter(F.col("in_region") > REGION))
-    n_hot = hot.count()
-    if n_hot:
-        wide = rows.join(bounded_broadcast(hot, n_hot, BROADCAST_ROWS), "region", "left")
-        blocks = F.ceil(F.col("in_region") * 2 / REGION).cast("int")
-        own = F.pmod(F.xxhash64("region", "id"), blocks).cast("int")
-        pairs = F.transform(F.filter(F.sequence(F.lit(0), blocks - 1), lambda j: j != own), lambda j: F.xxhash64("region", F.least(j, own), F.greatest(j, own)))
-        rows = wide.select(F.explode(F.when(F.col("in_region").isNull(), F.array("region")).otherwise(pairs)).alias("region"), "key", "id", "n", "sketch")
-    dealt = rows.repartition(F.col("region")).sortWithinPartitions("region", "key", "id")
-    return dealt.mapInArrow(region_candidates(percent), "a long, b long")
+    rows, dense = forest(reps)
+    dealt = rows.repartition(F.col("region")).sortWithinPartitions("region", "key", "node")
+    edges = dealt.mapInArrow(region_candidates(percent), "a long, b long")
+    if dense is None:
+        return edges
+    first = dense.groupBy("region").agg(F.min("node").alias("b"))  # as many rows as regions
+    first = shared(first)
+    star = dense.join(bounded_broadcast(first, first.count(), BROADCAST_ROWS), "region").filter("node <> b").select(F.col("node").alias("a"), "b")
+    return edges.unionByName(star)
+
+
+def across(percent: int):
+    """Rows (unit, node) that may be linked with a node of another part, from rows (unit, node, n, sketch, part), sorted
+    by unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runs(batches):
+            unit, node, n, part = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
+            s = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(len(unit), -1)
+            edge = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1], [True])))
+            hit = np.zeros(len(unit), bool)
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                for i in range(lo, hi - 1):
+                    at = np.arange(i + 1, hi)
+                    at = at[part[at] != part[i]]
+                    at = at[may_link(n, s, i, at, percent)]
+                    hit[at] = True
+                    hit[i] |= len(at) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(unit[hit]), pa.array(node[hit])], names=["unit", "node"])
+
+    return run
 
 
 def confirm(size: int, percent: int):
-    """True links from rows (unit, id, digest, text), sorted by unit; enough of them to connect what is connected."""
+    """True links from rows (unit, node, digest, text), sorted by unit; enough of them to connect what is connected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
         for b in runs(batches):
-            units, ids = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            units, nodes = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             edge = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1], [True])))
             found: list[tuple[int, int]] = []
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 sets: dict[int, np.ndarray] = {}
                 for i in range(lo, hi):
-                    if ids[i] not in sets:
+                    if nodes[i] not in sets:
                         sh = shingles(b.column(3)[i].as_py())
                         if digest(sh) == b.column(2)[i].as_py():  # not another text of the same id
-                            sets[ids[i]] = sh
+                            sets[nodes[i]] = sh
                 found += links(sets, percent)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
@@ -251,62 +292,108 @@ def links(arrays: dict[int, np.ndarray], percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows (id, n_shingles, component_id, kept), one for each row of `df`.
-
-    Documents are linked whose sets of distinct `size`-word shingles have 100 * |intersection| >= percent * |union|; a
-    text of fewer words is one shingle; a null text or one without words has none and is linked with nothing.
-    component_id is the least id reachable over links, `kept` whether it is the row's own. Repeated rows share id and
-    component; rows of one id with different texts are linked by text alone. Rows with a null id are never linked, their
-    component is null and they are kept. An empty table gives an empty result.
-    """
+def grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, n, digest) of all rows of `df`, and rows (set, first, component, least) of all classes: the class's
+    digest and least id, its component's number and least id."""
     sigs = shared(signatures(df, id_col, text_col, size))
-    reps = shared(sigs.filter("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "sketch", "minima"))))
+    classes = sigs.filter("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "sketch", "minima")))
+    reps = shared(classes.withColumn("node", F.monotonically_increasing_id()))
     clusters = components(candidates(reps, percent))
-    inside = shared(clusters.join(reps.select("id", "digest"), F.col("node") == F.col("id")).select("id", "digest", F.col("component").alias("cluster")))
-    sizes = inside.groupBy("cluster").agg(F.count("*").alias("in_cluster"))
-    sized = inside.join(sizes, "cluster").select("id", "digest", "cluster", "in_cluster")
-    texts = shared(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(sized, "id").select("id", "digest", "cluster", "in_cluster", "text"))
+    inside = shared(clusters.withColumnRenamed("component", "cluster").join(reps.select("node", "id", "digest", "n", "sketch"), "node"))
+    sizes = shared(inside.groupBy("cluster").agg(F.count("*").alias("in_cluster")).filter(F.col("in_cluster") > CLUSTER))
+    n_large = sizes.count()
+    sized = inside.join(bounded_broadcast(sizes, n_large, BROADCAST_ROWS), "cluster", "left").drop("n", "sketch")
+    texts = shared(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(sized, "id").select("node", "digest", "cluster", "in_cluster", "text"))
+
+    again = texts.groupBy("node").agg(F.count("*").alias("rows")).filter("rows > 1")
+    if again.limit(1).count():  # rows that repeat an id: one of equal ones is enough
+        texts = shared(texts.groupBy("node", "digest", "cluster", "in_cluster", F.md5("text").alias("same")).agg(F.first("text").alias("text")).drop("same"))
 
     def verified(units: DataFrame) -> DataFrame:
-        return units.select("unit", "id", "digest", "text").repartition(F.col("unit")).sortWithinPartitions("unit", "id").mapInArrow(confirm(size, percent), "a long, b long")
+        return units.select("unit", "node", "digest", "text").repartition(F.col("unit")).sortWithinPartitions("unit", "node").mapInArrow(confirm(size, percent), "a long, b long")
 
-    few = F.col("in_cluster") <= CLUSTER
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("in_cluster") / CLUSTER))
+    few = F.col("in_cluster").isNull()
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("in_cluster") / CLUSTER))
     true = shared(verified(texts.withColumn("unit", F.when(few, F.xxhash64("cluster")).otherwise(F.xxhash64("cluster", block)))))
-    large = sized.filter(~few)
-    if large.limit(1).count():
+    if n_large:
         part = components(true)
-        held = large.join(part, F.col("id") == F.col("node"), "left").select("id", "cluster", F.coalesce("component", "id").alias("part"))
-        by_part = held.groupBy("cluster", "part").agg(F.count("*").alias("in_part"))
-        loose = by_part.filter(F.col("in_part") < CLUSTER // 2).groupBy("cluster").agg(F.sum("in_part").alias("loose"))
-        where = by_part.join(loose, "cluster", "left").select("cluster", "part", "in_part", "loose")
-        own = F.col("in_part") >= CLUSTER // 2
-        held = held.join(where, ["cluster", "part"]).select("id", "cluster", F.when(own, F.col("part")).alias("only"), F.when(own, F.xxhash64("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("in_part") / CLUSTER)))).otherwise(F.xxhash64(F.lit("loose"), F.pmod(F.xxhash64("part"), F.ceil(F.col("loose") / CLUSTER)))).alias("block"))
+        hint = bounded_broadcast(sizes, n_large, BROADCAST_ROWS)
+        large = inside.join(hint, "cluster").select("node", "cluster", "n", "sketch")
+        held = shared(large.join(part, "node", "left").select("node", "cluster", "n", "sketch", F.coalesce("component", "node").alias("part")))
+        by_part = shared(held.groupBy("cluster", "part").agg(F.count("*").alias("in_part")).filter(F.col("in_part") >= CLUSTER // 2))
+        loose = shared(held.join(bounded_broadcast(by_part, by_part.count(), BROADCAST_ROWS), ["cluster", "part"], "left_anti").groupBy("cluster").agg(F.count("*").alias("loose")))
+        own = F.col("in_part").isNotNull()
+        held = held.join(bounded_broadcast(by_part, by_part.count(), BROADCAST_ROWS), ["cluster", "part"], "left").join(bounded_broadcast(loose, loose.count(), BROADCAST_ROWS), "cluster", "left")
+        held = held.select("node", "n", "sketch", "cluster", "part", F.when(own, F.col("part")).alias("only"), F.when(own, F.xxhash64("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("in_part") / CLUSTER)))).otherwise(F.xxhash64(F.lit("loose"), F.pmod(F.xxhash64("part"), F.ceil(F.col("loose") / CLUSTER)))).alias("block"))
         held = shared(held)
         blocks = held.select("cluster", "block", "only").distinct()
         x, y = blocks.alias("x"), blocks.alias("y")
         pairs = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block"))).filter("x.only is null or y.only is null or x.only <> y.only")
         units = pairs.select(F.col("x.cluster").alias("cluster"), F.xxhash64("x.cluster", "x.block", "y.block").alias("unit"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
-        rows = units.join(held, ["cluster", "block"]).select("unit", "id").join(texts.select("id", "digest", "text"), "id")
-        true = true.unionByName(verified(rows))
-    final = components(true).select(F.col("node").alias("id"), "component")
-    named = reps.select("digest", "id").join(final, "id", "left").select(F.col("digest").alias("set"), F.coalesce("component", "id").alias("component_id"))
-    out = sigs.join(named, (F.col("digest") == F.col("set")) & F.col("id").isNotNull(), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+        slim = units.join(held, ["cluster", "block"]).select("unit", "node", "n", "sketch", "part")
+        near = shared(slim.repartition(F.col("unit")).sortWithinPartitions("unit", "node").mapInArrow(across(percent), "unit long, node long"))
+        true = true.unionByName(verified(near.join(texts.select("node", "digest", "text"), "node")))
+    final = shared(components(true))
+    least = shared(final.join(reps.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least")))
+    linked = reps.select("node", F.col("digest").alias("set"), F.col("id").alias("first")).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    linked = linked.join(bounded_broadcast(least, least.count(), BROADCAST_ROWS), "component", "left")
+    return sigs.select("id", "n", "digest"), shared(linked.select("set", "first", "component", F.coalesce("least", "first").alias("least")))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """Rows (id, n_shingles, component_id, kept), one for each row of `df`.
+
+    Documents are linked whose sets of distinct `size`-word shingles have 100 * |intersection| >= percent * |union|; a
+    text of fewer words is one shingle; a null text or one without words has none and is linked with nothing.
+    component_id is the least id reachable over links, `kept` whether it is the row's own. Rows are linked by their texts
+    alone: repeated rows share id and component, and texts under one repeated id each have their own links. Rows with
+    a null id are never linked, their component is null and they are kept. An empty table gives an empty result; columns
+    other than id and text are not read.
+    """
+    sigs, classes = grouped(df, id_col, text_col, size, percent)
+    out = sigs.join(classes.select("set", "least"), (F.col("digest") == F.col("set")) & F.col("id").isNotNull(), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `df`, with its columns, of which one document of each group of near-duplicates stays: the one of the
-    least id. Of rows that repeat an id and are in one group, one stays; rows with a null id all stay.
+    least id (of several texts under that id, the one of the least hash). Of equal rows in a group one stays, so a group
+    is never left with two rows nor without one. Rows without words or with a null id are in no group and all stay. An
+    empty table gives an empty result.
     """
     mine = df.columns
-    result = near_duplicates(df, id_col, text_col, size, percent).filter("component_id is not null").groupBy(F.col(id_col).alias("_nd_id")).agg(F.count("*").alias("_nd_rows"), F.max("kept").alias("_nd_any"))
-    special = shared(result.filter("_nd_rows > 1 or not _nd_any"))  # ids alone, so texts are not shuffled for them
-    d = df.join(bounded_broadcast(special, special.count(), BROADCAST_IDS), F.col(id_col) == F.col("_nd_id"), "left")
-    once = d.filter("_nd_id is null").select(mine)
-    again = d.filter("_nd_any").dropDuplicates([id_col]).select(mine)
-    return once.unionByName(again)
+    sigs, classes = grouped(df, id_col, text_col, size, percent)
+    best = classes.groupBy("component").agg(F.min(F.struct("first", "set")).alias("b")).select(F.col("b.set").alias("set"), F.col("b.first").alias("first"))
+    named = sigs.filter("id is not null and digest is not null").join(best, (F.col("digest") == F.col("set")) & (F.col("id") == F.col("first")), "left")
+    # ids alone go to the texts, so that texts are not shuffled for them
+    by_id = named.groupBy("id").agg(F.count("*").alias("rows"), F.count("set").alias("good"))
+    special = shared(by_id.filter("rows > 1 or good = 0").select(F.col("id").alias("_nd_id"), (F.col("good") > 0).alias("_nd_any")))
+    d = df.withColumnsRenamed({c: f"_nd_own{i}" for i, c in enumerate(mine)})
+    ids, text = (F.col(f"_nd_own{mine.index(c)}") for c in (id_col, text_col))
+    back = lambda x: x.select([F.col(f"_nd_own{i}").alias(c) for i, c in enumerate(mine)])
+    d = d.join(bounded_broadcast(special, special.count(), BROADCAST_IDS), ids.cast("long") == F.col("_nd_id"), "left")
+    blank = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    once = d.filter(F.col("_nd_id").isNull() | blank)
+    again = d.filter(F.col("_nd_any") & ~blank)  # several rows of one id: their texts decide
+    return back(once).unionByName(back(chosen(again, f"_nd_own{mine.index(id_col)}", f"_nd_own{mine.index(text_col)}", best, size)))
+
+
+def chosen(d: DataFrame, id_col: str, text_col: str, best: DataFrame, size: int) -> DataFrame:
+    """One row of `d` for each (set, first) of `best` that has any."""
+    at = d.columns.index(text_col)
+
+    def make():
+        shingles = Shingler(size)
+
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [digest(shingles(t)) for t in b.column(at).to_pylist()]
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(sets, pa.binary())], names=[*b.schema.names, "_nd_set"])
+
+        return batch
+
+    hashed = map_batches(d, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + ", _nd_set binary")
+    met = hashed.join(best, (F.col("_nd_set") == F.col("set")) & (F.col(id_col).cast("long") == F.col("first")), "left_semi")
+    return met.dropDuplicates([id_col, "_nd_set"])
 
 
 #: Brute force over all pairs that share a shingle, and components by a recursive walk, in DuckDB SQL.

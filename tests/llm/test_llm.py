@@ -248,7 +248,7 @@ def test_near_duplicates(docs, rows, none):
 
 def test_near_duplicates_in_large_groups(spark, monkeypatch):
     """Small limits, so that regions and clusters are divided; chains, stars and groups that only look alike."""
-    for k, v in {"REGION": 24, "CLUSTER": 16, "LAGS": 3}.items():
+    for k, v in {"REGION": 24, "CLUSTER": 16, "LAGS": 3, "DEPTH": 4}.items():
         monkeypatch.setattr(neardup, k, v)
     r = random.Random(6)
     data = []
@@ -269,6 +269,41 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
 
 
+def test_repeated_ids(spark):
+    """Links and texts do not get lost where an id stands for several texts."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    t = "doc_id long, text string"
+    d = spark.createDataFrame([(5, a), (5, b), (8, a + " more"), (9, b + " more")], t)
+    assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(d, size=2).collect()) == [(5, 5), (5, 5), (8, 5), (9, 5)]
+    assert sorted((r.doc_id, r.text) for r in neardup.keep_one(d, size=2).collect()) == [(5, a), (5, b)]
+    d = spark.createDataFrame([(5, a), (5, b), (7, c)], t)
+    assert sorted((r.doc_id, r.text) for r in neardup.keep_one(d, size=2).collect()) == [(5, a), (5, b), (7, c)]
+    d = spark.createDataFrame([(5, a), (5, a), (5, ""), (5, None), (6, a), (7, b), (7, b + " x"), (7, a)] + [(4, c + " y")] * 30 + [(9, c)], t)
+    assert sorted((r.doc_id, str(r.text)) for r in neardup.keep_one(d, size=2).collect()) == sorted([(5, a), (5, ""), (5, "None"), (7, min(b, b + " x", key=lambda x: neardup.digest(neardup.Shingler(2)(x)))), (4, c + " y")])
+
+
+def test_forest_depth_follows_density(spark, monkeypatch):
+    """Regions are cut deeper where there are many classes; found pairs of similarity 0.8 stay nearly all."""
+    monkeypatch.setattr(neardup, "REGION", 40)
+    r = random.Random(9)
+    shared_part = [f"s{k}" for k in range(60)]
+    data = []
+    for i in range(400):  # classes that share half of their words with all others, and one near copy each
+        own = [f"o{i}x{k}" for k in range(60)]
+        near = [w if r.random() > 0.03 else f"n{i}{k}" for k, w in enumerate(shared_part + own)]
+        data += [(2 * i, " ".join(shared_part + own)), (2 * i + 1, " ".join(near))]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    sigs = neardup.signatures(d, "doc_id", "text", 1).withColumn("node", F.col("id"))
+    rows, dense = neardup.forest(sigs)
+    sizes = [x["count"] for x in rows.groupBy("region").count().collect()]
+    assert max(sizes) <= 40 and rows.count() + (dense.count() if dense else 0) == 800 * neardup.TREES
+    assert len({len(x.key) for x in rows.select("key").distinct().collect()}) > 1
+    sets = {i: set(t.split()) for i, t in data}
+    want = {(2 * i, 2 * i + 1) for i in range(400) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 80 * len(sets[2 * i] | sets[2 * i + 1])}
+    found = {x.component_id: x.doc_id for x in neardup.near_duplicates(d, size=1).filter("doc_id <> component_id").collect()}
+    assert len(want) > 300 and sum(found.get(a) == b for a, b in want) >= 0.99 * len(want) and set(found.items()) <= want
+
+
 def test_components(spark):
     r = random.Random(8)
     for edges in ([], [(1, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 80)], [(r.randrange(200), r.randrange(200)) for _ in range(150)]):
