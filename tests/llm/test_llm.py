@@ -206,14 +206,98 @@ def test_quality(docs, rows, none):
     assert quality.quality_report(none).count() == 0 and quality.keep_good(none).count() == 0
 
 
-def test_outliers_by_numpy(spark):
+def mcd_by_numpy(x):
+    """Centre, scatter and size of the regularised minimum-covariance-determinant estimate."""
     import numpy as np
 
+    q = quality
+    target, least = np.diag(q.TARGET) * q.RIDGE, np.array(q.LEAST)
+
+    def quantile(col, p):
+        u, c = np.unique(np.floor(col / q.STEP), return_counts=True)
+        return (u[np.flatnonzero(np.cumsum(c) >= p * len(col))[0]] + 0.5) * q.STEP
+
+    def step(m, k):
+        y = x - m
+        bins = np.floor(np.log(np.einsum("ij,jk,ik->i", y, np.linalg.inv(k), y) + 1e-9) * q.BINS)
+        u, inv, c = np.unique(bins, return_inverse=True, return_counts=True)
+        take = np.clip((q.SHARE * len(x) - (np.cumsum(c) - c)) / c, 0, 1)[inv]
+        a = take @ y / take.sum()
+        return m + a, target + (1 - q.RIDGE) * q.CONSISTENT * ((take[:, None] * y).T @ y / take.sum() - np.outer(a, a))
+
+    mid, low, high = (np.array([quantile(x[:, i], p) for i in range(5)]) for p in (0.5, 0.25, 0.75))
+    s = np.maximum((high - low) / 1.349, least)
+    z = (x - mid) / s
+    norm = np.sqrt((z * z).sum(1))
+    u, y = z / np.where(norm > 0, norm, 1)[:, None], np.tanh(z)
+    found = []
+    for i, k in enumerate((np.diag(s * s), np.outer(s, s) * (u.T @ u) / len(x) * 5, np.outer(s, s) * np.cov(y.T, bias=True))):
+        m, k = mid, target + (1 - q.RIDGE) * k
+        for _ in range(q.FIRST):
+            m, k = step(m, k)
+        found.append((round(np.log(np.linalg.det(k)), 9), i, m, k))
+    _, _, m, k = min(found, key=lambda f: f[:2])
+    while True:
+        old = np.linalg.det(k)
+        m, k = step(m, k)
+        if (old - np.linalg.det(k)) / old <= q.FALL:
+            return m, k, len(x)
+
+
+def test_estimates_by_numpy(spark):
+    """Groups of 3 to 300 rows with outliers: the same distances, hence verdicts, as numpy computes."""
+    import numpy as np
+
+    r = random.Random(3)
     g = np.random.default_rng(1)
-    text = lambda n, s: " ".join("x" * int(k) + "#" * s for k in g.integers(2, 9, n))
-    data = [(i, text(int(g.integers(30, 200)), 0), "en", "a", 0) for i in range(400)] + [(1000 + i, text(60, 1), "en", "a", 0) for i in range(60)]
-    r = quality.quality_report(spark.createDataFrame(data, DOCS)).collect()
-    assert all(x.kept == (x.doc_id < 1000) for x in r)
+    data = []
+    for lang, source, n in (("en", "a", 300), ("en", "b", 40), ("en", None, 3), ("de", "a", 120), (None, "c", 7)):
+        for i in range(n):
+            ws = ["x" * int(k) + r.choice(["", "", "#", "$$"]) * (i % 4 == 0) + str(r.randrange(10**6)) for k in g.integers(2, 9, int(g.integers(25, 300)))]
+            if i % 7 == 0:
+                ws += ws[: len(ws) // 9]
+            if i % 9 == 0:
+                ws += ["\nsame line\nsame line\n"]
+            data.append((len(data), " ".join(ws), lang, source, 0))
+    got = {x.doc_id: x for x in quality.quality_report(spark.createDataFrame(data, DOCS)).collect()}
+    vectors = {}
+    for i, x in got.items():
+        assert not x.base_failed
+        n = x.n_words
+        vectors[i] = [np.log(n), x.word_chars / n, np.sqrt(x.n_symbols / n), np.sqrt(x.n_dup_lines / n), x.n_repeat_words / n]
+    of = lambda f: np.array([vectors[d[0]] for d in data if f(d)])
+
+    def drawn(a, b):
+        w = a[2] / (a[2] + quality.PRIOR)
+        return w * a[0] + (1 - w) * b[0], w * a[1] + (1 - w) * b[1] + w * (1 - w) * np.outer(a[0] - b[0], a[0] - b[0]), a[2]
+
+    whole = mcd_by_numpy(of(lambda d: True))
+    for lang, source in {(d[2], d[3]) for d in data}:
+        pool = drawn(mcd_by_numpy(of(lambda d: d[2] == lang)), whole)  # noqa: B023
+        m, k, _ = drawn(mcd_by_numpy(of(lambda d: d[2:4] == (lang, source))), pool)  # noqa: B023
+        for d in data:
+            if d[2:4] == (lang, source):
+                y = vectors[d[0]] - m
+                far = y @ np.linalg.inv(k) @ y
+                assert got[d[0]].distance == pytest.approx(far, rel=1e-4, abs=1e-5) and got[d[0]].kept == (far <= quality.CUT)
+    assert 10 < sum(not x.kept for x in got.values()) < 200
+
+
+def test_each_component_can_reject(spark):
+    g = random.Random(1)
+    word = lambda: "".join(g.choices("abcdefgh", k=g.randint(3, 7)))
+    text = lambda n: [word() for _ in range(n)]
+    some = [text(g.randint(60, 600)) for _ in range(300)]
+    odd = {
+        1000: " ".join(text(90_000)),  # length
+        1001: " ".join(w * 3 for w in text(100)),  # word length
+        1002: " ".join(w + "#" * (i % 5 == 0) for i, w in enumerate(text(100))),
+        1003: " ".join(text(100)) + "\na b c\n" * 9,
+        1004: " ".join([*(t := text(100)), *t[:16]]),
+    }
+    data = [(i, " ".join(t), "en", "a", 0) for i, t in enumerate(some)] + [(i, t, "en", "a", 0) for i, t in odd.items()]
+    r = {x.doc_id: x for x in quality.quality_report(spark.createDataFrame(data, DOCS)).collect()}
+    assert not any(r[i].kept or r[i].base_failed for i in odd) and all(r[i].kept for i in range(300))
 
 
 # 6: near-duplicates
