@@ -29,21 +29,30 @@ def containment(a: Column, b: Column, i: Column | None = None) -> Column:
     return _ratio(i, F.least(F.size(a), F.size(b)))
 
 
-def idf_sum(toks: Column, idf: Column, power: int = 1) -> Column:
-    """Sum of weights of tokens, from a map of token to weight that has them all."""
-    one = lambda t: F.pow(F.element_at(idf, t), F.lit(power)) if power > 1 else F.element_at(idf, t)
+def tagged(df: Column, token: Column) -> Column:
+    """A token with its document frequency before it, so that what tokens weigh travels with them and an intersection
+    of two sets needs no second look at either."""
+    return F.concat(df.cast("string"), F.lit(":"), token)
+
+
+def weight_sum(toks: Column, n_docs: int, power: int = 1) -> Column:
+    """Sum of the weights ln(n_docs / (df + 1)), or of their squares, of tagged tokens."""
+
+    def one(t: Column) -> Column:
+        w = F.log(F.lit(float(n_docs)) / (F.substring_index(t, ":", 1).cast("long") + 1))
+        return w if power == 1 else F.pow(w, F.lit(power))
+
     return F.aggregate(toks, F.lit(0.0), lambda s, t: s + one(t))
 
 
-def weighted_jaccard(a: Column, b: Column, idf: Column, total_a: Column, total_b: Column) -> Column:
-    """Weight of the intersection over that of the union; `total_*` are the sets' weights, summed before the join."""
-    i = idf_sum(F.array_intersect(a, b), idf)
-    return F.when((F.size(F.array_intersect(a, b)) > 0) & (total_a + total_b - i > 0), i / (total_a + total_b - i)).otherwise(F.lit(0.0))
+def weighted_jaccard(both: Column, weight: Column, total_a: Column, total_b: Column) -> Column:
+    """Weight of the intersection `both` over that of the union; `total_*` are the sets' weights, summed before the join."""
+    return F.when((F.size(both) > 0) & (total_a + total_b - weight > 0), weight / (total_a + total_b - weight)).otherwise(F.lit(0.0))
 
 
-def idf_cosine(a: Column, b: Column, idf: Column, square_a: Column, square_b: Column) -> Column:
+def idf_cosine(squares: Column, square_a: Column, square_b: Column) -> Column:
     """Squared weights of the intersection over the product of the norms; `square_*` are the sets' squared weights."""
-    return F.when(square_a * square_b > 0, idf_sum(F.array_intersect(a, b), idf, 2) / F.sqrt(square_a * square_b)).otherwise(F.lit(0.0))
+    return F.when(square_a * square_b > 0, squares / F.sqrt(square_a * square_b)).otherwise(F.lit(0.0))
 
 
 def numeric_agreement(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import similarity as S
-from tessella.operators.scoring import similarities, with_grams
+from tessella.operators.scoring import of, overlaps, similarities
 
 PAIR = (
     "n_jac", "n_dice", "n_cont", "n_wjac", "n_gram_dice", "n_gram_jac", "nd_jac", "nd_cont",
@@ -32,31 +32,30 @@ def is_s3(target: Column) -> Column:
     return F.substring(target, 2, 1) == "3"
 
 
-def pair_features(joined: DataFrame, cos: str | None = None) -> DataFrame:
+def pair_features(joined: DataFrame, n_docs: int, cos: str | None = None) -> DataFrame:
     """`joined` (of `with_records`) with PAIR; names count only if the target's is Latin, addresses if both have tokens."""
-    d = joined if "a_wjac" in joined.columns else with_grams(joined).withColumns(similarities())
-    p, q = lambda c: F.col(f"p_{c}"), lambda c: F.col(f"q_{c}")
-    named, placed = F.col("q_latin"), (F.size("p_addr_toks") > 0) & (F.size("q_addr_toks") > 0)
-    n1, n2, a1, a2 = (F.size(c) for c in ("p_nc", "q_nc", "p_addr_toks", "q_addr_toks"))
+    d = joined if "a_wjac" in joined.columns else overlaps(joined).withColumns(similarities(n_docs))
+    named, placed = F.col("q_latin"), (F.size("p_tag_a") > 0) & (F.size("q_tag_a") > 0)
+    n1, n2, a1, a2 = (F.size(c) for c in ("p_tag_n", "q_tag_n", "p_tag_a", "q_tag_a"))
     ratio = lambda a, b: F.when((a > 0) & (b > 0), F.least(a, b) / F.greatest(a, b)).otherwise(0.0)
     flag = lambda c: c.cast("double")
     name = {
-        "n_jac": S.jaccard(p("nc"), q("nc")),
-        "n_dice": S.dice(p("nc"), q("nc")),
-        "n_cont": S.containment(p("nc"), q("nc")),
+        "n_jac": of(S.jaccard, "in_n", "tag_n"),
+        "n_dice": of(S.dice, "in_n", "tag_n"),
+        "n_cont": of(S.containment, "in_n", "tag_n"),
         "n_wjac": F.col("n_wjac"),
         "n_gram_dice": F.col("n_gram_dice"),
-        "n_gram_jac": S.jaccard(p("ng"), q("ng")),
-        "nd_jac": S.jaccard(p("nd"), q("nd")),
+        "n_gram_jac": of(S.jaccard, "in_ng", "ng"),
+        "nd_jac": of(S.jaccard, "in_nd", "nd"),
         "nd_cont": F.col("nd_cont"),
     }
     addr = {
-        "a_jac": S.jaccard(p("addr_toks"), q("addr_toks")),
-        "a_dice": S.dice(p("addr_toks"), q("addr_toks")),
-        "a_cont": S.containment(p("addr_toks"), q("addr_toks")),
+        "a_jac": of(S.jaccard, "in_a", "tag_a"),
+        "a_dice": of(S.dice, "in_a", "tag_a"),
+        "a_cont": of(S.containment, "in_a", "tag_a"),
         "a_wjac": F.col("a_wjac"),
         "a_gram_dice": F.col("a_gram_dice"),
-        "a_gram_jac": S.jaccard(p("ag"), q("ag")),
+        "a_gram_jac": of(S.jaccard, "in_ag", "ag"),
     }
     rest = {
         "num_both_present": flag(F.col("has_num")),

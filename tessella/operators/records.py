@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import similarity as S
 from tessella.functions import text as T
 
 MIN_LEN = 3
@@ -17,18 +18,29 @@ def normalise(records: DataFrame) -> DataFrame:
     (entity_id, business_name, business_address, country); nulls count as ''."""
     name, address, country = (F.coalesce(F.col(c), F.lit("")) for c in ("business_name", "business_address", "country"))
     as_set = lambda c: F.array_sort(F.array_distinct(c))
-    return records.select(
+    folded = records.select(
         "entity_id",
         F.substring("entity_id", 2, 1).try_cast("tinyint").alias("source"),
         F.regexp_extract("entity_id", "^S[0-9]-([0-9]+)$", 1).try_cast("bigint").alias("id_num"),
         country.alias("country"),
-        as_set(T.name_core(name)).alias("nc"),
-        as_set(T.name_distinctive(name)).alias("nd"),
-        as_set(T.address_tokens(address, country)).alias("addr_toks"),
-        T.numeric_tokens(address).alias("numbers"),
-        T.name_squash(name).alias("nsq"),
+        T.fold(name).alias("name"),
+        T.fold(address).alias("address"),
         T.is_latin(name).alias("latin"),
     )
+    # each step is used several times by the next, so it is computed once
+    cored = folded.withColumn("core", T.let(T.tokens(F.col("name")), T.core_of))
+    return cored.select(
+        "entity_id",
+        "source",
+        "id_num",
+        "country",
+        as_set(F.col("core")).alias("nc"),
+        as_set(T.distinctive_of(F.col("core"))).alias("nd"),
+        as_set(T.address_tokens_of(F.col("address"), F.col("country"))).alias("addr_toks"),
+        T.numeric_tokens_of(F.col("address")).alias("numbers"),
+        T.name_squash_of(F.col("name")).alias("nsq"),
+        "latin",
+    )
 
 
 def channel_tokens(norm: DataFrame, least: int = MIN_LEN) -> DataFrame:
@@ -57,7 +69,7 @@ def idf(df: DataFrame, n_docs: int) -> DataFrame:
 
 def weigh(norm: DataFrame, df: DataFrame, n_docs: int) -> DataFrame:
     """`norm` with, for each channel c of n (name) and a (address): rare_c (tokens of MIN_LEN or more, rarest first,
-    ties by token, as structs of df and token), idf_c (map of every token to its weight), sum_c and square_c.
+    ties by token, as structs of df and token), tag_c (every token with its df before it), sum_c and square_c.
 
     Tokens under MIN_LEN characters are in no statistics and so weigh most.
     """
@@ -70,7 +82,7 @@ def weigh(norm: DataFrame, df: DataFrame, n_docs: int) -> DataFrame:
         every = F.coalesce(f"all_{c}", F.array().cast("array<struct<df:bigint,token:string,idf:double>>"))
         cols += [
             F.transform(F.filter(every, lambda x: F.length(x["token"]) >= MIN_LEN), lambda x: F.struct(x["df"].alias("df"), x["token"].alias("token"))).alias(f"rare_{c}"),
-            F.map_from_arrays(F.transform(every, lambda x: x["token"]), F.transform(every, lambda x: x["idf"])).alias(f"idf_{c}"),
+            F.transform(every, lambda x: S.tagged(x["df"], x["token"])).alias(f"tag_{c}"),
             F.aggregate(every, F.lit(0.0), lambda s, x: s + x["idf"]).alias(f"sum_{c}"),
             F.aggregate(every, F.lit(0.0), lambda s, x: s + x["idf"] * x["idf"]).alias(f"square_{c}"),
         ]

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import similarity as S
-from tessella.functions.text import address_grams, ngrams
+from tessella.functions.text import gram_codes, sorted_text
 
 #: A pair whose name and address similarities both lie below is dropped.
 GATE = 0.10
@@ -35,50 +35,61 @@ class Weights:
     trust: tuple[float, ...] = (0.00, 0.45, 0.90, 1.00, 0.25, 0.55, 0.95, 1.00)
 
 
-RECORD = ("nc", "nd", "addr_toks", "numbers", "nsq", "latin", "sum_n", "sum_a", "square_n", "square_a")
+RECORD = ("tag_n", "nd", "tag_a", "numbers", "latin", "sum_n", "sum_a", "square_n", "square_a")
 
 
 def with_records(pairs: DataFrame, weighed: DataFrame) -> DataFrame:
-    """`pairs` (s1_id, target_id, ...) with both records' columns, prefixed p_ (reference) and q_ (target); maps of
-    weights come from the reference only, since shared tokens are in both."""
-    one = weighed.select(F.col("entity_id").alias("s1_id"), *(F.col(c).alias(f"p_{c}") for c in (*RECORD, "idf_n", "idf_a")))
-    two = weighed.select(F.col("entity_id").alias("target_id"), *(F.col(c).alias(f"q_{c}") for c in RECORD))
+    """`pairs` (s1_id, target_id, ...) with both records' columns, prefixed p_ (reference) and q_ (target). Tokens come
+    with their frequencies, character n-grams (ng of names, ag of addresses) as 16-bit numbers: made once for a record,
+    before the join, and not at all where nothing asks for them."""
+    w = weighed.withColumns({"ng": gram_codes(F.col("nsq")), "ag": gram_codes(sorted_text(F.col("addr_toks")))})
+    one = w.filter("source = 1").select(F.col("entity_id").alias("s1_id"), *(F.col(c).alias(f"p_{c}") for c in (*RECORD, "ng", "ag")))
+    two = w.filter("source <> 1").select(F.col("entity_id").alias("target_id"), *(F.col(c).alias(f"q_{c}") for c in (*RECORD, "ng", "ag")))
     return pairs.join(one, "s1_id").join(two, "target_id")
 
 
+def overlaps(joined: DataFrame) -> DataFrame:
+    """`joined` with what the sets of tokens and n-grams share: in_n and in_a (tagged tokens), in_nd, and the numbers of
+    shared n-grams, in_ng and in_ag. Every similarity follows from these and the sets' sizes."""
+    both = lambda c: F.array_intersect(f"p_{c}", f"q_{c}")
+    return joined.withColumns({"in_n": both("tag_n"), "in_a": both("tag_a"), "in_nd": F.size(both("nd")).cast("double"), "in_ng": F.size(both("ng")).cast("double"), "in_ag": F.size(both("ag")).cast("double")})
+
+
+def of(measure, shared: str, c: str) -> Column:
+    """A measure of similarity.py over a set's columns and what they share (tokens, or their number)."""
+    i = F.size(shared).cast("double") if shared in ("in_n", "in_a") else F.col(shared)
+    return measure(F.col(f"p_{c}"), F.col(f"q_{c}"), i)
+
+
 def gated(joined: DataFrame, w: Weights = Weights(), cos: str | None = None) -> DataFrame:
-    """Pairs that pass the gate, with their token similarities jn and ja. A cosine lets a non-Latin target pass."""
-    d = joined.withColumn("jn", S.jaccard(F.col("p_nc"), F.col("q_nc"))).withColumn("ja", S.jaccard(F.col("p_addr_toks"), F.col("q_addr_toks")))
+    """Pairs that pass the gate, with `overlaps` and their token similarities jn and ja. A cosine lets a non-Latin target
+    pass."""
+    d = overlaps(joined).withColumns({"jn": of(S.jaccard, "in_n", "tag_n"), "ja": of(S.jaccard, "in_a", "tag_a")})
     keep = (F.col("jn") >= GATE) | (F.col("ja") >= GATE)
     if cos:
         keep |= ~F.col("q_latin") & F.coalesce(F.col(cos) >= w.cos_low, F.lit(False))
     return d.filter(keep)
 
 
-def with_grams(gate: DataFrame) -> DataFrame:
-    """Character n-grams of both records; for gated pairs only, since they are not worth a shuffle."""
-    return gate.withColumns({f"{s}_ng": ngrams(F.col(f"{s}_nsq")) for s in "pq"} | {f"{s}_ag": address_grams(F.col(f"{s}_addr_toks")) for s in "pq"})
-
-
-def similarities() -> dict[str, Column]:
-    """Expressions of a gated pair `with_grams` that scores and features share."""
-    p, q = lambda c: F.col(f"p_{c}"), lambda c: F.col(f"q_{c}")
-    num = S.numeric_agreement(p("numbers"), q("numbers"))
+def similarities(n_docs: int) -> dict[str, Column]:
+    """Expressions of pairs with `overlaps` that scores and features share."""
+    num = S.numeric_agreement(F.col("p_numbers"), F.col("q_numbers"))
     return {
-        "n_wjac": S.weighted_jaccard(p("nc"), q("nc"), p("idf_n"), p("sum_n"), q("sum_n")),
-        "nd_cont": S.containment(p("nd"), q("nd")),
-        "n_gram_dice": S.dice(p("ng"), q("ng")),
-        "a_wjac": S.weighted_jaccard(p("addr_toks"), q("addr_toks"), p("idf_a"), p("sum_a"), q("sum_a")),
-        "a_gram_dice": S.dice(p("ag"), q("ag")),
+        "n_wjac": S.weighted_jaccard(F.col("in_n"), S.weight_sum(F.col("in_n"), n_docs), F.col("p_sum_n"), F.col("q_sum_n")),
+        "nd_cont": of(S.containment, "in_nd", "nd"),
+        "n_gram_dice": of(S.dice, "in_ng", "ng"),
+        "a_wjac": S.weighted_jaccard(F.col("in_a"), S.weight_sum(F.col("in_a"), n_docs), F.col("p_sum_a"), F.col("q_sum_a")),
+        "a_gram_dice": of(S.dice, "in_ag", "ag"),
         "num_score": num["score"],
         "has_num": num["evidence"],
     }
 
 
-def scored(gate: DataFrame, w: Weights = Weights(), cos: str | None = None) -> DataFrame:
-    """Gated pairs with `score` in [0, 1]: channels with evidence, blended and scaled by trust in their combination."""
-    d = with_grams(gate).withColumns(similarities())
-    has_addr, has_num, latin = (F.size("p_addr_toks") > 0) & (F.size("q_addr_toks") > 0), F.col("has_num"), F.col("q_latin")
+def scored(gate: DataFrame, n_docs: int, w: Weights = Weights(), cos: str | None = None) -> DataFrame:
+    """Gated pairs with `score` in [0, 1]: channels with evidence, blended and scaled by trust in their combination.
+    `n_docs` is the number of records that the frequencies come from."""
+    d = gate.withColumns(similarities(n_docs))
+    has_addr, has_num, latin = (F.size("p_tag_a") > 0) & (F.size("q_tag_a") > 0), F.col("has_num"), F.col("q_latin")
     zero = F.lit(0.0)
     addr = w.addr_idf * F.col("a_wjac") + w.addr_grams * F.col("a_gram_dice")
     name = w.name_idf * F.col("n_wjac") + w.name_contained * F.col("nd_cont") + w.name_grams * F.col("n_gram_dice")

@@ -12,7 +12,11 @@ TRUTH_NAME = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's tables. A file of one row group is one task, so a table of fewer files than cores is dealt to
+    all of them; a large table has more files and is left as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,7 +118,7 @@ def blocking_stats(spark, d):
 
 def run_statistics(spark, d):
     m = matching(spark, d)
-    gate = m.joined.select(S.jaccard(F.col("p_nc"), F.col("q_nc")).alias("jn"), S.jaccard(F.col("p_addr_toks"), F.col("q_addr_toks")).alias("ja"))
+    gate = scoring.overlaps(m.joined).select(scoring.of(S.jaccard, "in_n", "tag_n").alias("jn"), scoring.of(S.jaccard, "in_a", "tag_a").alias("ja"))
     passed = (F.col("jn") >= scoring.GATE) | (F.col("ja") >= scoring.GATE)
     a = m.norm.agg(F.count_if(F.col("source") == 1).alias("references"), F.count_if(F.col("source") != 1).alias("scanned"))
     b = gate.agg(F.count("*").alias("considered"), F.count_if(passed).alias("passed"))
@@ -126,36 +126,32 @@ def run_statistics(spark, d):
     return a.join(b, F.lit(True)).join(c, F.lit(True))
 
 
-def _pair_query(*cols: tuple[str, Callable[[], Column]]):
+def _pair_query(name: Callable[[int], Column], addr: Callable[[int], Column]):
     def query(spark, d):
-        return matching(spark, d).joined.select("s1_id", "target_id", *(F.round(f(), 6).alias(n) for n, f in cols))
+        m = matching(spark, d)
+        return scoring.overlaps(m.joined).select("s1_id", "target_id", F.round(name(m.n_docs), 6).alias("name_sim"), F.round(addr(m.n_docs), 6).alias("addr_sim"))
 
     return query
 
 
-def _p(c: str) -> Column:
-    return F.col(f"p_{c}")
+def _sets(measure):
+    return _pair_query(lambda n: scoring.of(measure, "in_n", "tag_n"), lambda n: scoring.of(measure, "in_a", "tag_a"))
 
 
-def _q(c: str) -> Column:
-    return F.col(f"q_{c}")
+def _weights(measure, power: int, total: str, *first: str):
+    def one(c: str):
+        return lambda n: measure(*(F.col(f"{x}_{c}") for x in first), S.weight_sum(F.col(f"in_{c}"), n, power), F.col(f"p_{total}_{c}"), F.col(f"q_{total}_{c}"))
 
+    return _pair_query(one("n"), one("a"))
 
-pair_jaccard = _pair_query(("name_sim", lambda: S.jaccard(_p("nc"), _q("nc"))), ("addr_sim", lambda: S.jaccard(_p("addr_toks"), _q("addr_toks"))))
-pair_dice = _pair_query(("name_sim", lambda: S.dice(_p("nc"), _q("nc"))), ("addr_sim", lambda: S.dice(_p("addr_toks"), _q("addr_toks"))))
-pair_containment = _pair_query(("name_sim", lambda: S.containment(_p("nc"), _q("nc"))), ("addr_sim", lambda: S.containment(_p("addr_toks"), _q("addr_toks"))))
-pair_weighted_jaccard = _pair_query(
-    ("name_sim", lambda: S.weighted_jaccard(_p("nc"), _q("nc"), _p("idf_n"), _p("sum_n"), _q("sum_n"))),
-    ("addr_sim", lambda: S.weighted_jaccard(_p("addr_toks"), _q("addr_toks"), _p("idf_a"), _p("sum_a"), _q("sum_a"))),
-)
-pair_idf_cosine = _pair_query(
-    ("name_sim", lambda: S.idf_cosine(_p("nc"), _q("nc"), _p("idf_n"), _p("square_n"), _q("square_n"))),
-    ("addr_sim", lambda: S.idf_cosine(_p("addr_toks"), _q("addr_toks"), _p("idf_a"), _p("square_a"), _q("square_a"))),
-)
+
+pair_jaccard, pair_dice, pair_containment = _sets(S.jaccard), _sets(S.dice), _sets(S.containment)
+pair_weighted_jaccard = _weights(S.weighted_jaccard, 1, "sum", "in")
+pair_idf_cosine = _weights(S.idf_cosine, 2, "square")
 
 
 def pair_numeric(spark, d):
-    n = S.numeric_agreement(_p("numbers"), _q("numbers"))
+    n = S.numeric_agreement(F.col("p_numbers"), F.col("q_numbers"))
     return matching(spark, d).joined.select("s1_id", "target_id", F.round(n["score"], 6).alias("num_score"), n["evidence"].alias("has_num"))
 
 
@@ -188,7 +184,7 @@ def _rounded(df: DataFrame, names) -> DataFrame:
 
 def pair_features(spark, d):
     m = matching(spark, d)
-    return _rounded(features.pair_features(scoring.with_records(m.ranked.select("s1_id", "target_id"), m.weighed)), features.PAIR)
+    return _rounded(features.pair_features(scoring.with_records(m.ranked.select("s1_id", "target_id"), m.rated), m.n_docs), features.PAIR)
 
 
 def cross_source_features(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -14,10 +15,12 @@ from tessella.sources.shared import shared
 
 class Matching:
     """Lazy steps over source records (entity_id, business_name, business_address, country). With `embeddings`
-    (entity_id, embedding), unit vectors of names, targets whose names are not Latin are scored by their cosines."""
+    (entity_id, embedding), unit vectors of names, targets whose names are not Latin are scored by their cosines. With
+    `rating`, the statistics (df, n_docs) of another corpus, such as the one a model was trained on, tokens weigh in scores
+    and features what they weigh there; keys always follow the statistics of this corpus."""
 
-    def __init__(self, source: DataFrame, how: blocking.Blocking = blocking.Blocking(), sample_every: int = 1, embeddings: DataFrame | None = None):
-        self.source, self.how, self.sample_every, self.embeddings = source, how, sample_every, embeddings
+    def __init__(self, source: DataFrame, how: blocking.Blocking = blocking.Blocking(), sample_every: int = 1, embeddings: DataFrame | None = None, rating: tuple[DataFrame, int] | None = None):
+        self.source, self.how, self.sample_every, self.embeddings, self.rating = source, how, sample_every, embeddings, rating
         self.cos = None if embeddings is None else "emb_cos"
 
     @cached_property
@@ -33,6 +36,16 @@ class Matching:
     def weighed(self) -> DataFrame:
         return shared(records.weigh(self.norm, *self.stats))
 
+    @property
+    def n_docs(self) -> int:
+        """Records that the weights in scores come from."""
+        return (self.rating or self.stats)[1]
+
+    @cached_property
+    def rated(self) -> DataFrame:
+        """Records with the weights that scores and features use."""
+        return self.weighed if self.rating is None else shared(records.weigh(self.norm, *self.rating))
+
     @cached_property
     def keys(self) -> DataFrame:
         return blocking.keys(self.weighed, self.how)
@@ -47,7 +60,7 @@ class Matching:
 
     @cached_property
     def joined(self) -> DataFrame:
-        return scoring.with_records(self.with_cosines(self.pairs), self.weighed)
+        return scoring.with_records(self.with_cosines(self.pairs), self.rated)
 
     @cached_property
     def gated(self) -> DataFrame:
@@ -56,7 +69,7 @@ class Matching:
     @cached_property
     def scored(self) -> DataFrame:
         """Gated pairs with all their columns and the rounded score."""
-        return scoring.rounded(scoring.scored(self.gated, cos=self.cos))
+        return scoring.rounded(scoring.scored(self.gated, self.n_docs, cos=self.cos))
 
     @cached_property
     def ranked(self) -> DataFrame:
@@ -66,11 +79,13 @@ class Matching:
     @cached_property
     def featured(self) -> DataFrame:
         """`ranked` candidates with every feature."""
-        d = scoring.with_records(self.with_cosines(self.ranked.select("s1_id", "target_id", "score")), self.weighed)
-        d = features.pair_features(d, cos=self.cos).select("s1_id", "target_id", "score", *features.PAIR)
+        d = scoring.with_records(self.with_cosines(self.ranked.select("s1_id", "target_id", "score")), self.rated)
+        d = features.pair_features(d, self.n_docs, cos=self.cos).select("s1_id", "target_id", "score", *features.PAIR)
         return features.competition(features.cross_source(d, self.norm))
 
     def chosen(self, prob: str = "score") -> DataFrame:
-        """Rows (s1_id, target_id, prob) after the one-owner assignment."""
-        d = self.ranked.withColumn("prob", self.ranked[prob])
-        return assign(d)[0]
+        """Rows (s1_id, target_id, prob) after the one-owner assignment; warns if records are still contested."""
+        d, passes, left = assign(self.ranked.withColumn("prob", self.ranked[prob]))
+        if left:
+            warnings.warn(f"{left} records are still claimed twice after {passes} passes", stacklevel=2)
+        return d

@@ -64,21 +64,27 @@ def train(spark: SparkSession, paths: list[str], truth_path: str, out: str, s1_e
     data = shared(model.split(model.label(m.featured, metrics.links(truths(spark, source, truth_path)))))
     fitted = model.train(data, **how)
     model.save(fitted, out, True)
+    tables.write_cached(m.stats[0], f"{out}/statistics", n_docs=m.stats[1])
     return model.importances(fitted)
 
 
 def submit(spark: SparkSession, paths: list[str], out: str, model_path: str | None = None, threshold: float = RULE_THRESHOLD, limit: int | None = None, embeddings: str | None = None) -> list[dict]:
     """Write matching_results and candidate_pairs, one line for each reference record in file order; gives the checks'
-    report. With a model sets are chosen by expected F_0.5 and every target gets one owner, else by the threshold."""
+    report. With a model sets are chosen by expected F_0.5 and every target gets one owner, else by the threshold; tokens
+    then weigh in scores and features what they did in training. What is still claimed twice is reported as an error."""
     first, *rest = (tables.read_source(spark, p) for p in paths)
     if limit is not None:
         first = tables.first_rows(first, limit)
     first = shared(first)
-    m = Matching(reduce(DataFrame.unionByName, rest, first).drop("ordinal"), embeddings=vectors(spark, embeddings))
+    rating, left = None, 0
+    if model_path:
+        df, meta = tables.read_cached(spark, f"{model_path}/statistics")
+        rating = (df, meta["n_docs"])
+    m = Matching(reduce(DataFrame.unionByName, rest, first).drop("ordinal"), embeddings=vectors(spark, embeddings), rating=rating)
     if model_path:
         fitted, _ = model.load(model_path)
         scored = model.apply(fitted, m.featured).select("s1_id", "target_id", (F.col("rank") + 1).cast("int").alias("rank"), "prob")
-        chosen = assignment.assign(scored)[0]
+        chosen, _, left = assignment.assign(scored)
     else:
         chosen = scoring.threshold_select(m.ranked, threshold)
     results = shared(tables.complete(first, metrics.as_lists(chosen)))
@@ -89,4 +95,5 @@ def submit(spark: SparkSession, paths: list[str], out: str, model_path: str | No
     rows = results.select("s1_id", "ids", F.lit(False).alias("malformed"))
     known = reduce(DataFrame.unionByName, rest).select(F.col("entity_id").alias("target_id"))
     report = validate.validate(rows, first.select(F.col("entity_id").alias("s1_id")), known, candidates)
-    return [r.asDict() for r in report.collect()]
+    contested = [{"rule": "contested", "severity": "error", "offenders": left, "examples": ""}] if left else []
+    return [r.asDict() for r in report.collect()] + contested

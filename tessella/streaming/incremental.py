@@ -19,7 +19,7 @@ def match_stream(arriving: DataFrame, reference: DataFrame, df: DataFrame, n_doc
         w = records.weigh(records.normalise(batch), df, n_docs)
         both = ref.unionByName(w)
         pairs = blocking.candidate_pairs(blocking.keys(both, how), how)
-        hits = scoring.rounded(scoring.scored(scoring.gated(scoring.with_records(pairs, both))))
+        hits = scoring.rounded(scoring.scored(scoring.gated(scoring.with_records(pairs, both)), n_docs))
         sink(scoring.top_k(hits).select("s1_id", "target_id", "score", "rank"), batch_id)
 
     return arriving.writeStream.foreachBatch(one)

@@ -46,7 +46,7 @@ def test_f_beta(spark, tp, p, t, f):
 def match(spark, rows, cos=None):
     m = Matching(spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string"))
     pairs = spark.createDataFrame([("S1-1", "S2-1", cos)], "s1_id string, target_id string, cos double")
-    d = scoring.scored(scoring.gated(scoring.with_records(pairs, m.weighed), cos="cos"), cos="cos").collect()
+    d = scoring.scored(scoring.gated(scoring.with_records(pairs, m.rated), cos="cos"), m.n_docs, cos="cos").collect()
     return d[0]["score"] if d else 0.0
 
 

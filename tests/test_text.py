@@ -52,14 +52,28 @@ def test_null_is_empty(spark):
     assert list(row) == ["", "Latin", []]
 
 
-def test_full_fold_agrees_with_unicode(spark):
-    texts = ["ﬁn½ Ⅷ", "Ünï", "a_b", "Straße", "９９"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.fold_full(F.col("t")).alias("x")).collect()
+def test_fold_agrees_with_unicode(spark):
+    """Every character with a compatibility form of letters or digits, and texts of several."""
+    texts = ["ﬁn½ Ⅷ", "Ünï", "a_b", "Straße", "９９", "ﬁne Œuvre ½ ㎏ ①", "x²y", "e\u0301te\u0301", "№ 5 ℡ ㏂", "𝐚𝟗 🄁", "İstanbul"]
+    texts += [chr(cp) for cp in range(0x80, 0x20000) if not 0xD800 <= cp < 0xE000 and any(x.isascii() and x.isalnum() for x in unicodedata.normalize("NFKD", chr(cp)))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.fold(F.col("t")).alias("x")).collect()
+    assert len(rows) > 1900
     for r in rows:
         d = unicodedata.normalize("NFKD", r.t.lower())
         d = "".join(c for c in d if not unicodedata.combining(c))
         d = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in d)
-        assert r.x == " ".join(d.split())
+        assert r.x == " ".join(d.split()), r.t
+
+
+def test_gram_codes_are_ngrams(spark):
+    texts = ["", "a", "ab", "abc", "a b", " ab", "12 oak road 12 oak", "zzzzz", "9", "a9 z0 0a"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.ngrams(F.col("t")).alias("g"), T.gram_codes(F.col("t")).alias("c")).collect()
+    code = {}
+    for r in d:
+        assert len(r.g) == len(r.c)
+        for g, c in zip(r.g, r.c, strict=True):
+            assert code.setdefault(g, c) == c
+    assert len(set(code.values())) == len(code)
 
 
 def sets(spark, f, a, b):
@@ -73,8 +87,10 @@ def test_similarities(spark):
     assert sets(spark, S.dice, a, b) == pytest.approx(4 / 7)
     assert sets(spark, S.containment, a, b) == pytest.approx(2 / 3)
     assert all(sets(spark, f, [], b) == 0 for f in (S.jaccard, S.dice, S.containment))
-    idf = F.create_map(*[F.lit(x) for kv in {"a": 1.0, "b": 2.0, "c": 3.0, "d": 4.0, "e": 5.0}.items() for x in kv])
-    assert sets(spark, lambda x, y: S.weighted_jaccard(x, y, idf, F.lit(6.0), F.lit(14.0)), a, b) == pytest.approx(1 / 3)
-    assert sets(spark, lambda x, y: S.idf_cosine(x, y, idf, F.lit(14.0), F.lit(54.0)), a, b) == pytest.approx(0.472805, abs=1e-6)
+    assert sets(spark, lambda x, y: S.weighted_jaccard(F.array_intersect(x, y), F.lit(5.0), F.lit(6.0), F.lit(14.0)), a, b) == pytest.approx(1 / 3)
+    assert sets(spark, lambda x, y: S.idf_cosine(F.lit(13.0), F.lit(14.0), F.lit(54.0)), a, b) == pytest.approx(0.472805, abs=1e-6)
+    tags = F.array(*(S.tagged(F.lit(d), F.lit(t)) for d, t in ((9, "x"), (0, "a:b"))))
+    assert spark.range(1).select(S.weight_sum(tags, 1000)).first()[0] == pytest.approx(4.605170 + 6.907755, abs=1e-5)
+    assert spark.range(1).select(S.weight_sum(tags, 1000, 2)).first()[0] == pytest.approx(4.605170**2 + 6.907755**2, abs=1e-4)
     assert tuple(sets(spark, S.numeric_agreement, [], b)) == (0.0, False)
     assert tuple(sets(spark, S.numeric_agreement, ["x"], b)) == (0.0, True)
