@@ -22,8 +22,9 @@ from tessella.llm.common import map_batches, shared, table
 #: The marks of a turn, and the role that is learned.
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
-#: Conversations of one first turn that are paired in one window, and parts that a first turn is dealt to in a join.
-AT_ONCE, SALTS = 1000, 8
+#: Parts, by a hash of the id, that the conversations of a first turn are counted in; parts that a frequent answer is
+#: dealt to in a join; and distinct answers in a ring of donors.
+PARTS, SALTS, AT_ONCE = 1024, 8, 1000
 #: Following answers that the conversations of one answer take their rejected ones from.
 DONORS = 8
 
@@ -46,8 +47,8 @@ def format_pair(chosen: list[Turn], rejected: list[Turn] | None) -> dict:
     """Prompt, completions and masks of a pair. Without a rejected conversation (None) the prompt is what precedes the
     chosen one's last assistant turn (all of it, if there is none), and the rejected completion is null.
 
-    If one conversation is the beginning of the other, the common prefix ends before its last turn, so that neither
-    completion is empty; equal conversations thus differ in no turn and give two equal completions.
+    If one conversation is the beginning of the other, the prompt is that one as a whole and its completion empty; equal
+    conversations are all prompt, which prefers nothing (`pairs` marks them).
     """
     if rejected is None:
         n = max((i for i, t in enumerate(chosen) if t[0] == LEARNED), default=len(chosen))
@@ -55,7 +56,6 @@ def format_pair(chosen: list[Turn], rejected: list[Turn] | None) -> dict:
         n = 0
         while n < len(chosen) and n < len(rejected) and chosen[n] == rejected[n]:
             n += 1
-        n = min(n, max(0, len(chosen) - 1), max(0, len(rejected) - 1))
     out: dict = {"prompt_turns": n, "prompt": "".join(render(t)[0] for t in chosen[:n])}
     for name, turns in (("chosen", chosen), ("rejected", rejected)):
         text, mask = "", []
@@ -86,25 +86,21 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 
 def pairs(c: DataFrame, better: Column | None = None) -> DataFrame:
-    """Rows (chosen_id, rejected_id, same): conversations of the same opening, two by two in order of id; the one with more
-    learned characters is chosen (then the smaller id). The last of an odd number has no rejected one. Groups of over
-    AT_ONCE are paired in parts, each of an even number but one, so a frequent opening is no single task's work. `same`
-    says that both are rendered alike, so that the pair prefers nothing; it is null without a rejected one.
+    """Rows (chosen_id, rejected_id, same): conversations of the same opening, two by two in order of (part, id), where an
+    id's part is one of PARTS by its hash; the one with more learned characters is chosen (then the smaller id). The last
+    of an odd number has no rejected one. `same` says that both are rendered alike, so that the pair prefers nothing; it is
+    null without a rejected one.
+
+    A place is the number of rows in the parts before, from their counts, and the place within the part, so a frequent
+    opening is no single task's work and the rule is the same for any number of conversations.
     """
     score = better if better is not None else F.aggregate("turns", F.lit(0), lambda a, t: a + F.when(t["role"] == LEARNED, F.length(t["text"])).otherwise(0))
-    slim = shared(c.select("conv_id", "opening", F.coalesce(score, F.lit(0)).alias("score"), whole().alias("whole")))
-    # Places within an opening without one task for it: ids by part, counts of the parts before.
-    n = slim.groupBy("opening").agg(F.count("*").alias("n"))
-    salt = F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int")
-    dealt = slim.withColumn("salt", salt).join(n.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["opening", "salt"])
-    parted = dealt.withColumn("part", F.pmod(F.xxhash64("conv_id"), F.ceil(F.col("n") / AT_ONCE)))
-    by = W.partitionBy("opening", "part").orderBy("conv_id")
-    placed = parted.withColumn("k", F.row_number().over(by) - 1).withColumn("size", F.count("*").over(W.partitionBy("opening", "part")))
-    left = (F.col("size") % 2 == 1) & (F.col("k") == F.col("size") - 1)
-    even = placed.filter(~left).select("opening", "part", F.floor(F.col("k") / 2).alias("pair"), "conv_id", "score", "whole")
-    # one left over in each part: at most n / AT_ONCE + 1 rows of an opening, paired among themselves
-    over = placed.filter(left).select("opening", F.lit(-1).cast("long").alias("part"), F.floor((F.row_number().over(W.partitionBy("opening").orderBy("conv_id")) - 1) / 2).alias("pair"), "conv_id", "score", "whole")
-    both = even.unionByName(over).groupBy("opening", "part", "pair").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col("conv_id").alias("id"), "whole"))).alias("x"))
+    slim = shared(c.select("conv_id", "opening", F.coalesce(score, F.lit(0)).alias("score"), whole().alias("whole"), F.pmod(F.xxhash64("conv_id"), F.lit(PARTS)).cast("int").alias("part")))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("opening").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = slim.groupBy("opening", "part").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")
+    place = F.col("before") + F.row_number().over(W.partitionBy("opening", "part").orderBy("conv_id")) - 1
+    placed = slim.join(counts, ["opening", "part"]).withColumn("pair", F.floor(place / 2))
+    both = placed.groupBy("opening", "pair").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col("conv_id").alias("id"), "whole"))).alias("x"))
     first, second = F.get("x", 0), F.get("x", 1)
     return both.select(first["id"].alias("chosen_id"), second["id"].alias("rejected_id"), (first["whole"] == second["whole"]).alias("same"))
 
@@ -179,5 +175,8 @@ def format_preferences(c: DataFrame, p: DataFrame) -> DataFrame:
 
 
 def preference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of RESULT for all of `conversations`: the natural pairs, and a made pair for every other conversation with an
+    assistant turn. Null roles, texts and turn numbers count as in `conversations` and `format_preferences`; copies are
+    conversations of their own; an empty table gives an empty result."""
     c = shared(conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
     return format_preferences(c, with_branches(c, pairs(c)))
