@@ -18,7 +18,7 @@ from importlib.resources import files as resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import shared, table, word_count
+from tessella.llm.common import bounded_broadcast, shared, table, word_count
 
 #: License statements and the heads of license texts, by SPDX identifier.
 TEMPLATES = [
@@ -69,6 +69,7 @@ TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: if the unit is a block, that many of its distinct terms must be there too.
 LEAST = 0.6
 LEAST_TERMS = 0.5
+BROADCAST_ROWS = 100_000
 
 
 @cache
@@ -108,11 +109,11 @@ def counted(units: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def scored(units: DataFrame) -> DataFrame:
-    """Rows (unit, kind, spdx, score): each distinct statement's best template, from rows (unit, kind), repeated as they
-    occur. A kind is line, file or block; files and blocks are compared with complete texts and HEADERS as well. Blocks
-    don't count in document frequencies."""
+    """Rows (digest, kind, spdx, score): each distinct statement's best template, from rows (digest, unit, kind), repeated
+    as they occur. A kind is line, file or block; files and blocks are compared with complete texts and HEADERS as well.
+    Blocks don't count in document frequencies. A statement's text is kept once; all else goes by its number."""
     spark = units.sparkSession
-    distinct = shared(units.groupBy("unit", "kind").agg(F.sum(F.when(F.col("kind") == "block", 0).otherwise(1)).alias("n")).withColumn("k", F.monotonically_increasing_id()))
+    distinct = shared(units.groupBy("digest", "kind").agg(F.first("unit").alias("unit"), F.sum(F.when(F.col("kind") == "block", 0).otherwise(1)).alias("n")).withColumn("k", F.monotonically_increasing_id()))
     tf = shared(counted(distinct, "k", "unit").join(distinct.select("k", "kind", "n"), "k"))
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     df = tf.groupBy("term").agg(F.sum("n").alias("df"))
@@ -133,7 +134,7 @@ def scored(units: DataFrame) -> DataFrame:
     cos = dots.join(norm, "k").join(F.broadcast(names), "template").filter(enough).select("k", "spdx", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("score"))
     best = cos.groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("spdx").alias("spdx"))).alias("b"))
     best = best.select("k", F.col("b.spdx").alias("spdx"), (-F.col("b.minus")).alias("score")).filter(F.col("score") >= LEAST)
-    return best.join(distinct, "k").select("unit", "kind", "spdx", "score")
+    return best.join(distinct.select("k", "digest", "kind"), "k").select("digest", "kind", "spdx", "score")
 
 
 def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str) -> DataFrame:
@@ -153,9 +154,10 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str) -
     parts = F.concat(F.transform("lines", unit("line")), F.transform(blocks(F.col("text")), unit("block")))
     units = F.when(whole, F.array(unit("file")(F.col("text")))).otherwise(parts)
     d = shared(d.select(F.monotonically_increasing_id().alias("row"), "id", "path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.size("lines").cast("long").alias("n_statements"), "license_file", units.alias("units")))
-    u = d.select("row", F.inline("units"))
-    best = scored(u.drop("row"))
-    own = u.join(best, ["unit", "kind"]).groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("spdx").alias("spdx"))).alias("b")).select("row", F.col("b.spdx").alias("own_license"), (-F.col("b.minus")).alias("own_score"))
+    u = d.select("row", F.inline("units")).withColumn("digest", F.md5("unit"))
+    best = shared(scored(u.drop("row")))
+    # a statement that very many files hold meets its license without a shuffle, unless there are very many licenses
+    own = u.drop("unit").join(bounded_broadcast(best, best.count(), BROADCAST_ROWS), ["digest", "kind"]).groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("spdx").alias("spdx"))).alias("b")).select("row", F.col("b.spdx").alias("own_license"), (-F.col("b.minus")).alias("own_score"))
     d = shared(d.drop("units").join(own, "row", "left"))
     holders = d.filter("license_file and own_license is not null and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("minus"), F.col("own_license").alias("spdx"))).alias("b")).select(F.col("dir").alias("above"), F.col("b.spdx").alias("spdx"))
     dirs = d.filter("own_license is null and dir is not null").select("dir").distinct()
@@ -172,6 +174,8 @@ PATH = "concat('/', coalesce(source, ''), '/', coalesce(lang, ''), CASE WHEN doc
 
 
 def license_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`scan_licenses` over all of `documents`, at the paths of PATH; what it says of nulls, ties, repeated rows and empty
+    tables holds. A null doc_id has a null path."""
     files = table(spark, sf_dir, "documents").select("doc_id", F.expr(PATH).alias("path"), "text")
     return scan_licenses(files, "doc_id", "path", "text")
 
