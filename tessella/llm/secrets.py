@@ -3,8 +3,8 @@
 Each credential format has a sample of labelled strings (made by `labelled` from a seed; another labelled sample can
 be given). Its prefix tree is folded by merging states whose outgoing frequencies agree within a Hoeffding bound
 (the ALERGIA scheme), which leaves a small probabilistic automaton. One more automaton is learned from strings that
-are no credentials. Every candidate of a text, a run of at least MIN_RUN key characters with letters and digits, is
-scored by the best format's log-likelihood and by its margin over the background.
+are no credentials. Every candidate of a text, an assigned value or a run of at least MIN_RUN key characters with letters
+and digits, is scored by the best format's log-likelihood and by its margin over the background.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -114,7 +115,8 @@ class Automaton:
             self.log.append({c: math.log(k / (n + 1)) for c, k in counts.items()})
 
     def compatible(self, p: int, q: int) -> bool:
-        """Outgoing frequencies of both states, and of what follows them, agree within the bound."""
+        """Outgoing frequencies of both states, and of what follows them, agree within the bound. A bound of 1 or more says
+        nothing, nor can it below, where counts are smaller still; so the test ends there."""
         todo = [(p, q)]
         while todo:
             p, q = todo.pop()
@@ -167,23 +169,27 @@ class SecretScanner:
         """(kind, start, end, base) by start, then by kind as listed, the formats after the base kinds."""
         if not text:
             return []
-        base = []
+        base, values = [], []
         low = text.lower()
         if any(w in low for w in WORDS):
-            base += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+            for m in ASSIGN.finditer(text):
+                values.append(m)
+                if len(m[2]) >= 6:
+                    base.append((m.start(), 0, m.end()))
         if "AKIA" in text:
             base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
         base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         base.sort()
+        # candidates: what is assigned, and every run that touches no assignment
+        starts, ends = [m.start() for m in values], [m.end() for m in values]
+        found = [m.span(2) for m in values] + [m.span() for m in RUN.finditer(text) if bisect_left(starts, m.end()) == bisect_right(ends, m.start())]
         more = []
-        for m in RUN.finditer(text):
-            c = m[0].rstrip(".-/")
+        for s, e in found:
+            c = text[s:e].rstrip(".-/")
             if len(c) >= MIN_RUN and re.search("[0-9]", c) and re.search("[A-Za-z]", c):
-                s, e = m.start(), m.start() + len(c)
-                if not any(a < e and s < b for a, _, b in base):
-                    kind, per, margin = self.best(c)
-                    if per >= PER_SYMBOL and margin >= MARGIN:
-                        more.append((kind, s, e, False))
+                kind, per, margin = self.best(c)
+                if per >= PER_SYMBOL and margin >= MARGIN:
+                    more.append((kind, s, s + len(c), False))
         order = (*KINDS, *self.formats).index
         return sorted([(KINDS[k], s, e, True) for s, k, e in base] + more, key=lambda x: (x[1], order(x[0])))
 
@@ -199,7 +205,9 @@ SPAN_SQL = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: dict[str, list[str]] | None = None) -> DataFrame:
     """Rows (id, secrets), one for each row of `df`: an array of spans (kind, start, end, base) in code points, end
-    exclusive. A null or empty text has none. Spans of the automata never overlap those of the base patterns.
+    exclusive. A null or empty text has none. Every candidate is scored, also what a base pattern holds already: its span
+    then tells the format beside the base span. Null ids pass through, repeated rows get equal spans each, an empty table
+    gives an empty result, other columns are not read.
     """
 
     def make():
@@ -216,6 +224,8 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def secret_digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows (id, n_assign, n_access, n_hex, base_sha256, spans), one for each row of `df`; as `find_secrets` otherwise. A
+    text without spans has counts of 0, the hash of no bytes and an empty string."""
     found = find_secrets(df, id_col)
     base = F.filter("secrets", lambda s: s["base"])
     of = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")

@@ -178,6 +178,9 @@ def test_secrets(docs, rows, none):
     for kind, sample in secrets.labelled(99, 100).items():
         hits = [x for x in sample if len(x) >= 16 and (b := s.best(x))[1] >= secrets.PER_SYMBOL and b[2] >= secrets.MARGIN]
         assert len(hits) <= 0.02 * len(sample) if kind == "background" else len(hits) >= 0.9 * len(sample), kind
+    key = "ghp_" + "a1B2" * 9
+    assert [x[:3] for x in s.scan(f"token={key} and {key}")] == [("assign", 0, 46), ("forge_token", 6, 46), ("forge_token", 51, 91)]
+    assert s.scan("0123456789abcdef" * 4)[-1][:3] == ("hex_key", 0, 64)
     out = secrets.secret_digest(docs).collect()
     assert len(out) == len(rows) and sum(x.n_hex for x in out) == sum(x.n_access for x in out) == sum(x.n_assign for x in out) == 1
     assert secrets.secret_digest(none).count() == 0
@@ -516,15 +519,30 @@ def test_preferences(spark):
 
 
 def test_pairs_of_a_frequent_opening(spark, monkeypatch):
-    monkeypatch.setattr(chat, "AT_ONCE", 10)
-    data = [(i, 0, "user", "same") for i in range(101)] + [(i, 1, "assistant", "x" * (i % 7)) for i in range(101)]
-    c = chat.conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
-    p = chat.pairs(c).collect()
-    ids = [x for r in p for x in (r.chosen_id, r.rejected_id) if x is not None]
-    assert sorted(ids) == list(range(101)) and sum(r.rejected_id is None for r in p) == 1
-    equal = [("user", "a"), ("assistant", "b")]
-    f = chat.format_pair(equal, equal)
-    assert f["prompt_turns"] == 1 and f["chosen"] == f["rejected"] != ""
+    """Two by two in one order, whatever the number of conversations and parts."""
+    for parts in (4, 1024):
+        monkeypatch.setattr(chat, "PARTS", parts)
+        for n in (1, 2, 101):
+            data = [(i, 0, "user", "same") for i in range(n)] + [(i, 1, "assistant", "x" * (i % 7)) for i in range(n)]
+            c = chat.conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+            order = [r.conv_id for r in c.orderBy(F.pmod(F.xxhash64("conv_id"), F.lit(parts)), "conv_id").collect()]
+            want = {frozenset(order[k : k + 2]) for k in range(0, n, 2)}
+            got = chat.pairs(c).collect()
+            assert {frozenset({r.chosen_id, r.rejected_id} - {None}) for r in got} == want and len(got) == len(want)
+            assert all(r.rejected_id is None or (-(r.chosen_id % 7), r.chosen_id) < (-(r.rejected_id % 7), r.rejected_id) for r in got)
+
+
+def test_longest_common_prefix_by_trial():
+    r = random.Random(12)
+    for _ in range(500):
+        a, b = ([(r.choice(["user", "assistant", None]), r.choice(["x", "y", None])) for _ in range(r.randint(0, 4))] for _ in range(2))
+        b = a[: r.randint(0, len(a))] + b
+        n = max(k for k in range(min(len(a), len(b)) + 1) if a[:k] == b[:k])
+        f = chat.format_pair(a, b)
+        text = lambda ts: "".join(chat.render(t)[0] for t in ts)
+        assert (f["prompt_turns"], f["prompt"], f["chosen"], f["rejected"]) == (n, text(a[:n]), text(a[n:]), text(b[n:]))
+        for side, turns in (("chosen", a[n:]), ("rejected", b[n:])):
+            assert [f[side][m["start"] : m["end"]] for m in f[f"{side}_mask"]] == [(x or "") + chat.END for role, x in turns if role == "assistant"]
 
 
 def test_every_answer_has_a_rejected_branch(spark, tmp_path):
