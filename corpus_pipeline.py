@@ -12,31 +12,40 @@ from tessella.llm.registry import pattern, vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the robust distances reject go."""
+    """Documents that the rules or the robust distances reject go, those without text among them; repeated rows share a
+    verdict, a null language or source is one of its own. An empty table stays empty; extra columns of any name stay."""
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates stays: shingles of five words, similarity of 0.8 or more.
+    The least id stays (of equal rows one); rows without words or id are in no group and stay. An empty table stays empty;
+    extra columns of any name stay."""
     return neardup.keep_one(docs, size=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind; n_chars follows the text."""
+    """Personal data in the texts is replaced by its kind; n_chars follows the text. Null and empty texts, repeated
+    rows and extra columns of any name stay as they are; an empty table stays empty."""
     return pii.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights: documents are repeated, cut or left out."""
+    """Sources are brought to their target weights: documents are repeated, cut or left out (those without
+    words always). A null source is one source. Reruns agree, equal keys too. An empty table stays empty; extra columns of
+    any name stay."""
     return mixing.take(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids (packed little-endian unsigned 32-bit integers), number of tokens and whether
-    decoding gives the text back."""
+    decoding gives the text back. A null text has no token. Columns of `docs` that are called as the new ones or `decoded`
+    are replaced; repeated rows and all other columns stay; an empty table stays empty."""
+    docs = docs.drop("token_ids", "n_tokens", "round_trip", "decoded")
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
     done = bpe.encode(docs, path, pattern(), back="decoded", reuse=False)
-    return done.selectExpr(*[f"`{c}`" for c in docs.columns], "token_ids", "CAST(length(token_ids) / 4 AS BIGINT) AS n_tokens", "decoded = CAST(coalesce(text, '') AS BINARY) AS round_trip")
+    own = [f"`{c}`" for c in docs.columns]
+    return done.selectExpr(*own, "token_ids", "CAST(length(token_ids) / 4 AS BIGINT) AS n_tokens", "decoded = CAST(coalesce(text, '') AS BINARY) AS round_trip")
 
 
 STAGES = [
