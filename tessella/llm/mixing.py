@@ -33,7 +33,8 @@ def quality(text: Column, size: Column) -> Column:
 
 
 def keyed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weight: Column | None = None) -> DataFrame:
-    """`df` with _mix_size (words), _mix_key (exponential key) and _mix_tie (hash of the row) after its own columns."""
+    """`df` with _mix_size (words), _mix_key (exponential key) and _mix_tie (hash of the row) after its own columns. Null ids,
+    sources and texts count as empty in the hash; `weight` must be above 0."""
     d = df.withColumn("_mix_size", word_count(F.col(text_col)))
     d = d.withColumn("_mix_tie", F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))))
     u = (F.conv(F.substring("_mix_tie", 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(2.0**52)
@@ -95,6 +96,9 @@ def mix(rows: DataFrame, source_col: str = "source", id_col: str = "doc_id", **h
 
 
 def mix_digest(df: DataFrame) -> DataFrame:
+    """Rows (doc_id, size, source_size, target, taken), one for each row of `df` (doc_id, source, text); no other column
+    is read. A null text has size 0 and is taken 0 times; a null source is one source, last in order; ids may be null or
+    repeated; equal keys are ordered by id and contents. A source without words has target 0. An empty table gives none."""
     slim = shared(keyed(df.select("doc_id", "source", "text")).drop("text"))
     return mix(slim).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -107,20 +111,26 @@ def _chars_of_words(text: Column, n: Column) -> Column:
     return F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c")), step)["c"] - 1
 
 
-def take(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **cols) -> DataFrame:
-    """The mixed rows themselves, with the columns of `df`: a row taken k times and a part comes k times whole and once
-    with its first words up to that part; rows taken 0 times go."""
+def take(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", chars_col: str | None = "n_chars", weight: Column | None = None, **how) -> DataFrame:
+    """The mixed rows themselves, with the columns of `df`, whatever their names: a row taken k times and a part comes k
+    times whole and once with its first words up to that part; rows taken 0 times go, so a null text and one without
+    words do. Equal rows each count as a row; an empty table gives an empty result. `weight` is an expression over `df`.
+    """
     mine = df.columns
-    named = {c: f"_own_{c}" for c in OWN if c in mine}
-    d = mix(keyed(df.withColumnsRenamed(named), text_col=text_col, **cols))
+    own = {c: f"_own{i}" for i, c in enumerate(mine)}  # columns of `df` can have any name
+    named = [F.col(f"`{c}`").alias(o) for c, o in own.items()]
+    rows = df.select(*named, *([] if weight is None else [weight.alias("_mix_weight")]))
+    text = own[text_col]
+    d = mix(keyed(rows, own[id_col], own[source_col], text, None if weight is None else F.col("_mix_weight")), own[source_col], own[id_col], **how)
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     d = d.withColumn("_mix_words", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), copies), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
-    first = F.substring(F.col(text_col), F.lit(1), _chars_of_words(F.col(text_col), F.col("_mix_words")).cast("int"))
-    d = d.withColumn(text_col, F.when(F.col("_mix_words") < 0, F.col(text_col)).otherwise(first))
+    first = F.substring(F.col(text), F.lit(1), _chars_of_words(F.col(text), F.col("_mix_words")).cast("int"))
+    d = d.withColumn(text, F.when(F.col("_mix_words") < 0, F.col(text)).otherwise(first))
     if chars_col and chars_col in mine:
-        d = d.withColumn(chars_col, F.when(F.col("_mix_words") < 0, F.col(chars_col)).otherwise(F.length(text_col)).cast(df.schema[chars_col].dataType))
-    return d.select([F.col(named.get(c, c)).alias(c) for c in mine])
+        n = F.col(own[chars_col])
+        d = d.withColumn(own[chars_col], F.when(F.col("_mix_words") < 0, n).otherwise(F.length(text)).cast(df.schema[chars_col].dataType))
+    return d.select([F.col(o).alias(c) for c, o in own.items()])
 
 
 #: The same rows in DuckDB SQL.

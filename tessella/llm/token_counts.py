@@ -9,7 +9,8 @@ state and by how many tokens the encoding grows (a later character can also shri
 
 No vocabulary entry holds a space mark after another character, so a mark after another character resets the
 machine. A chunk of text is therefore a map from states to states that needs the incoming state only up to its
-first reset; such maps compose associatively, and long texts are counted by a scan over their chunks' maps.
+first reset; such maps compose associatively, and every text is counted by a scan over its chunks' maps. A map holds
+its state itself, not a number of it, so it means the same whatever states a machine has met or forgotten.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ CHUNK = 1 << 16
 #: Cached words and machine states of a task; beyond that both start anew, so memory is bounded.
 CACHE = 300_000
 STATES = 250_000
+#: Words of fewer characters are cached.
+SHORT = 64
 START = 0
 
 
@@ -92,11 +95,7 @@ class PieceTransducer:
                 grown.append((t, last, count))
         token, count = found
         new = (*((s, last, c - count) for s, last, c in grown), ("", token, 0))
-        if new not in self.number:
-            self.number[new] = len(self.states)
-            self.states.append(new)
-            self.next.append({})
-        return self.number[new], count
+        return self.numbered(new), count
 
     def run(self, state: int, text: str) -> tuple[int, int]:
         total, table = 0, self.next
@@ -108,28 +107,49 @@ class PieceTransducer:
             total += n
         return state, total
 
+    def numbered(self, state: tuple) -> int:
+        """The number of a state in this machine."""
+        at = self.number.get(state)
+        if at is None:
+            at = self.number[state] = len(self.states)
+            self.states.append(state)
+            self.next.append({})
+        return at
+
+    def bound(self) -> None:
+        """Start anew where the machine has grown too large; maps made before stay valid."""
+        if len(self.states) > STATES:
+            self.forget()
+        if len(self.counts) > CACHE:
+            self.counts = {}
+
     # A chunk's map is (head, None) or (head, (count, state)): the head is what precedes the first reset and must be
     # run from the incoming state; what follows starts at a reset and has a fixed count and end.
-    def chunk_map(self, text: str) -> tuple[str, tuple[int, int] | None]:
-        cut = re.search(f"[^{MARK}](?={MARK})", text) if self.resets else None
+    def chunk_map(self, text: str) -> tuple[str, tuple[int, tuple] | None]:
+        self.bound()
+        cut = RESET.search(text) if self.resets else None
         if not cut:
             return text, None
         pieces = PIECE.findall(text, cut.end())
         counts, total = self.counts, 0
-        for p in pieces[:-1]:
+        last = pieces.pop()
+        for p in pieces:
             n = counts.get(p)
             if n is None:
-                n = counts[p] = self.run(START, p)[1]
+                n = self.run(START, p)[1]
+                if len(p) < SHORT:
+                    counts[p] = n
             total += n
-        state, n = self.run(START, pieces[-1])
-        return text[: cut.end()], (total + n, state)
+        state, n = self.run(START, last)
+        return text[: cut.end()], (total + n, self.states[state])
 
     def compose(self, a: tuple, b: tuple) -> tuple:
         if a[1] is None:
             return a[0] + b[0], b[1]
+        self.bound()
         count, state = a[1]
-        state, n = self.run(state, b[0])
-        return (a[0], (count + n, state)) if b[1] is None else (a[0], (count + n + b[1][0], b[1][1]))
+        end, n = self.run(self.numbered(state), b[0])
+        return (a[0], (count + n, self.states[end])) if b[1] is None else (a[0], (count + n + b[1][0], b[1][1]))
 
     def scan(self, maps: list[tuple]) -> tuple:
         """All maps composed in a balanced tree, the up-sweep of a parallel prefix scan."""
@@ -141,25 +161,17 @@ class PieceTransducer:
         """Tokens of a text; null and empty texts have none."""
         if not text:
             return 0
-        if len(self.states) > STATES:
-            self.forget()
-        if len(self.counts) > CACHE:
-            self.counts = {}
         s = MARK + text.replace(" ", MARK)
-        if self.resets and len(s) <= CHUNK:  # one chunk, from the start state
-            counts, total = self.counts, 0
-            for p in PIECE.findall(s):
-                n = counts.get(p)
-                if n is None:
-                    n = self.run(START, p)[1]
-                    if len(p) < 64:
-                        counts[p] = n
-                total += n
-            return total
         head, tail = self.scan([self.chunk_map(s[i : i + CHUNK]) for i in range(0, len(s), CHUNK)])
-        return self.run(START, head)[1] + (tail[0] if tail else 0)
+        n = self.counts.get(head)
+        if n is None:
+            n = self.run(START, head)[1]
+            if len(head) < SHORT:
+                self.counts[head] = n
+        return n + (tail[0] if tail else 0)
 
 
+RESET = re.compile(f"[^{MARK}](?={MARK})")
 PIECE = re.compile(f"{MARK}+[^{MARK}]*")
 
 

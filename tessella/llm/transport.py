@@ -262,7 +262,9 @@ def parse_media(df: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def media_digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per row: sizes and hashes of the stored stream and of the payload read back, and a feature string."""
+    """Per row: sizes and hashes of the stored stream and of the payload read back, and a feature string. A null text
+    is empty: 0 bytes, a payload of 64 zero bytes. Null ids pass through, repeated rows stay, an empty table gives an empty
+    result; columns other than `id_col` and text are not read."""
     d = parse_media(write_media(df, id_col))
     return d.select(
         id_col,

@@ -96,6 +96,24 @@ def test_token_counts_are_the_library(docs, rows, none):
     assert t.count(long) == len(sp.encode(long))
 
 
+def test_chunk_maps_compose(monkeypatch):
+    """Counts don't depend on where texts are cut, nor on what a machine had to forget in between."""
+    import sentencepiece
+
+    path = registry.vocabulary("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(9)
+    texts = [prose(r, 300), "x" * 500, " " * 200 + "a", "".join(r.choices("  aeinrst.é日\n", k=700)), "▁" * 90, "one", " "]
+    want = [len(sp.encode(x)) for x in texts]
+    for chunk, states in ((1, 250_000), (7, 40), (64, 1), (10_000, 250_000)):
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        monkeypatch.setattr(token_counts, "STATES", states)
+        t = token_counts.PieceTransducer(path)
+        assert [t.count(x) for x in texts] == want
+    a, b, c = (t.chunk_map(x) for x in ("ab c", "d ef", " gh i"))
+    assert t.compose(t.compose(a, b), c) == t.compose(a, t.compose(b, c))
+
+
 # 3: media
 
 
@@ -425,6 +443,19 @@ def test_mixing(docs, rows, none):
     assert sum(len(spaced(r.text)) for r in taken.collect()) == sum(r.taken for r in out)
 
 
+def test_mixing_takes_any_columns(docs, rows, none):
+    plain = sorted(map(str, (r[:5] for r in mixing.take(docs).collect())))
+    odd = docs.withColumn("_mix_w", F.lit(1)).withColumn("_mix_size", F.lit("s")).withColumn("_own0", F.lit(2)).withColumn("a.b", F.lit(None).cast("int")).withColumn("taken", F.lit(3))
+    got = mixing.take(odd)
+    assert got.columns == odd.columns
+    back = got.collect()
+    assert sorted(map(str, (r[:5] for r in back))) == plain and {tuple(r[5:]) for r in back} == {(1, "s", 2, None, 3)}
+    other = mixing.take(docs.withColumnsRenamed({"doc_id": "k", "source": "from", "text": "t"}), "k", "from", "t")
+    assert sorted(map(str, (tuple(r) for r in other.collect()))) == sorted(map(str, (tuple(r) for r in mixing.take(docs).collect())))
+    assert mixing.take(docs, weight=F.length("source") + F.lit(1.0)).columns == docs.columns
+    assert mixing.take(none).count() == 0
+
+
 def test_targets(spark):
     d = spark.createDataFrame([("a", 100), ("b", 1000), (None, 10), ("c", 0)], "source string, source_size long")
     t = {r.source: r.target for r in mixing.targets(d).collect()}
@@ -594,3 +625,15 @@ def test_pipeline(spark, docs, tmp_path):
     kept = {r.doc_id for r in quality.quality_report(one).filter("kept").collect()}
     groups = brute([(r.doc_id, r.text) for r in one.collect() if r.doc_id in kept], 5, 80)
     assert {r.doc_id for r in out} <= {c for _, c in groups.values()}
+
+
+def test_pipeline_of_nothing_and_of_clashing_names(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    odd = docs.filter("doc_id < 12").withColumn("token_ids", F.lit("own")).withColumn("_mix_w", F.lit(1)).withColumn("_nd_id", F.lit(2)).withColumn("pii", F.lit(3))
+    for name, d in (("none", odd.limit(0)), ("odd", odd)):
+        d.write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert out.columns == [*docs.columns, "_mix_w", "_nd_id", "pii", "token_ids", "n_tokens", "round_trip"]
+        found = out.collect()
+        assert bool(found) == (name == "odd") and all(r.round_trip and r["_mix_w"] == 1 for r in found)
