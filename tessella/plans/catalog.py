@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from tessella.operators import assignment, blocking, features, metrics, model, r
 from tessella.plans import adapters, oracle
 from tessella.plans.matching import Matching
 from tessella.sources import tables
+from tessella.sources.shared import shared_folder
 
 #: Small caps show what they do on small tables.
 CAPPED = blocking.Blocking(df_cap=3, max_posting=20)
@@ -260,6 +262,32 @@ def validate_output(spark, d):
     return validate.validate(validate.parse(lines), required, known)
 
 
+def validate_candidates(spark, d):
+    """Every rule without known ids, with candidate lists, and the verdict: lists made from `orders`, some of which repeat
+    an id and some of which name no candidate."""
+    o = adapters.table(spark, d, "orders")
+    k, c = F.col("o_orderkey"), F.concat(F.lit("S2-"), F.col("o_custkey").cast("string"))
+    s1 = F.concat(F.lit("S1-"), k.cast("string"))
+    lines = o.select(F.concat(s1, F.lit("\t"), F.concat_ws(",", c, F.when(k % 89 == 0, c))).alias("value"))
+    allowed = o.select(s1.alias("s1_id"), F.array(F.when(k % 7 == 0, F.lit("S2-none")).otherwise(c)).alias("ids"))
+    report = validate.validate(validate.parse(lines), o.select(s1.alias("s1_id")), candidates=allowed)
+    return report.withColumn("passed", F.lit(validate.passed(report)))
+
+
+def id_predicates(spark, d):
+    """The holdout predicate, and the second of three chunks among every other id."""
+    number = F.regexp_extract("entity_id", "([0-9]+)$", 1).try_cast("bigint")
+    return adapters.records(spark, d).select("entity_id", records.keep_every(number, 10).alias("holdout"), records.chunk_of(number, 1, 3, 2).alias("in_chunk"))
+
+
+def truth_file(spark, d):
+    """The truth written as a file of id lists and read again."""
+    t = adapters.truth(spark, d).select("s1_id", F.col("matched").alias("ids"), F.regexp_extract("s1_id", "([0-9]+)$", 1).cast("bigint").alias("ordinal"))
+    where = f"{shared_folder(spark)}/truth-{uuid.uuid4().hex}"
+    tables.write_id_lists(t, where, single_file=True)
+    return metrics.links(tables.read_truth(spark, where))
+
+
 def embedding_inputs(spark, d):
     return tables.embedding_inputs(matching(spark, d).norm, all_targets=False)
 
@@ -285,7 +313,7 @@ NAMES = (
     pair_numeric, embedding_cosine_topk, rule_score, prefilter_topk, threshold_select, threshold_sweep,
     pair_features, cross_source_features, rank_features, ratio_select, expected_f_select, assignment_first_pass,
     claim_counts, assignment_fixpoint, macro_f, breakdown_by_country, candidate_recall, oracle_score, id_lists,
-    validate_output, embedding_inputs, model_split, gbt_scores,
+    validate_output, validate_candidates, id_predicates, truth_file, embedding_inputs, model_split, gbt_scores,
 )
 
 

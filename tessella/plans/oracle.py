@@ -293,6 +293,25 @@ def sql() -> dict[str, str]:
         "candidate_recall": chain("SELECT *, CASE WHEN true_links > 0 THEN round(found_links / true_links, 9) ELSE 0 END AS recall FROM (SELECT count(*) AS true_links, count(p.target_id) AS found_links FROM links LEFT JOIN pairs AS p USING (s1_id, target_id))", *to_truth),
         "oracle_score": chain(f"SELECT coalesce(round(avg(f), 9), 0.0) AS oracle_f FROM (SELECT {F_BETA} AS f FROM (SELECT t.s1_id, len(any_value(matched)) AS t, count(p.target_id) AS p, count(p.target_id) AS tp FROM truth AS t LEFT JOIN links AS l ON l.s1_id = t.s1_id LEFT JOIN pairs AS p ON p.s1_id = l.s1_id AND p.target_id = l.target_id GROUP BY t.s1_id))", *to_truth),
         "id_lists": chain("SELECT CAST(regexp_extract(t.s1_id, '[0-9]+$') AS BIGINT) AS ordinal, t.s1_id || chr(9) || coalesce(array_to_string(ids, ','), '') AS line FROM truth AS t LEFT JOIN picked USING (s1_id)", *to_truth, ENTITY),
+        "validate_candidates": """
+WITH good AS (
+  SELECT 'S1-' || o_orderkey AS x, o_orderkey % 89 = 0 AS repeated, o_orderkey % 7 = 0 AS outside FROM orders
+), found AS (
+  SELECT 'repeated_id' AS rule, x FROM good WHERE repeated UNION ALL SELECT 'not_a_candidate', x FROM good WHERE outside
+  UNION ALL SELECT 'duplicate_row', x FROM good GROUP BY x HAVING count(*) > 1
+), counted AS (
+  SELECT rule, count(*) AS offenders FROM found GROUP BY rule
+), least AS (
+  SELECT rule, string_agg(x, ',' ORDER BY x) AS examples FROM (SELECT rule, x, row_number() OVER (PARTITION BY rule ORDER BY x) AS r FROM (SELECT DISTINCT rule, x FROM found)) WHERE r <= 5 GROUP BY rule
+)
+SELECT rule, severity, coalesce(offenders, 0) AS offenders, coalesce(examples, '') AS examples, NOT EXISTS (SELECT 1 FROM counted WHERE rule <> 'not_a_candidate' AND offenders > 0) AS passed
+FROM (VALUES ('malformed', 'error'), ('duplicate_row', 'error'), ('repeated_id', 'error'), ('self_match', 'error'), ('prefix', 'error'), ('missing', 'error'), ('unexpected', 'error'), ('not_a_candidate', 'warning')) AS rules(rule, severity)
+LEFT JOIN counted USING (rule) LEFT JOIN least USING (rule)""",
+        "id_predicates": chain("SELECT entity_id, number % 10 = 0 AS holdout, number % 2 = 0 AND (number // 2) % 3 = 1 AS in_chunk FROM (SELECT entity_id, CAST(regexp_extract(entity_id, '[0-9]+$') AS BIGINT) AS number FROM records)", DOCUMENTS),
+        "truth_file": chain("SELECT s1_id, target_id FROM links", DOCUMENTS, TRUTH),
+        "model_split": """
+SELECT s1_id, CASE WHEN h < 6 THEN 'train' WHEN h < 8 THEN 'calibrate' ELSE 'test' END AS part, CAST(quality AS INT) AS label
+FROM (SELECT 'S1-' || doc_id AS s1_id, quality, CAST('0x' || substr(md5('S1-' || doc_id || '|42'), 1, 8) AS BIGINT) % 10 AS h FROM labels)""",
         "validate_output": f"""
 WITH lines AS (
   SELECT CASE WHEN o_orderkey % 101 = 0 THEN head ELSE head || chr(9) || ids END AS value FROM (

@@ -19,7 +19,7 @@ def plain(x):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["norm_fold", "norm_addr_tokens", "norm_trigrams", "corpus_idf", "blocking_keys", "posting_cap", "posting_cap_chunked", "candidate_pairs", "rule_score", "cross_source_features", "threshold_sweep", "expected_f_select", "breakdown_by_country", "validate_output"])
+@pytest.mark.parametrize("name", ["norm_fold", "norm_addr_tokens", "norm_trigrams", "corpus_idf", "blocking_keys", "posting_cap", "posting_cap_chunked", "candidate_pairs", "rule_score", "cross_source_features", "threshold_sweep", "expected_f_select", "breakdown_by_country", "validate_output", "validate_candidates", "id_predicates", "truth_file", "model_split"])
 def test_query_is_its_sql(spark, name):
     import duckdb
 
