@@ -32,7 +32,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of `documents`; see `pii.pii_digest` for nulls, empty texts and repeated rows.
-    Texts of any length are decoded in linear time; equal scores are resolved by position, so reruns agree."""
+    Texts of any length are decoded in linear time; decoding is deterministic, so reruns agree."""
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
@@ -62,7 +62,7 @@ def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of `documents`; see `secrets.secret_digest`. A null text is empty; of formats of equal
-    likelihood the first by name stands; repeated rows stay."""
+    likelihood the first as listed stands; repeated rows stay."""
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
