@@ -253,6 +253,8 @@ def keep_good(df: DataFrame) -> DataFrame:
     base = df.select(*named).select("*", *(F.col(f"_own{mine.index(c)}").alias(c) for c in ("lang", "source", "text")))
     rows = base.select("lang", "source", statistics(F.col("text")).alias("_q_s")).select("lang", "source", (~base_failed(s)).alias("use"), *(x.alias(f"v{i}") for i, x in enumerate(vector(s))))
     now = estimates(shared(rows))
-    e = base.withColumn("_q_s", statistics(F.col("text"))).withColumn("_q_use", ~base_failed(s)).filter("_q_use")
-    kept = verdict(e.select("*", *(x.alias(f"v{i}") for i, x in enumerate(vector(s)))), now).filter(F.coalesce(F.col("_q_far"), F.lit(0.0)) <= CUT)
+    e = base.withColumn("_q_s", statistics(F.col("text"))).withColumn("_q_use", ~base_failed(s))
+    # one condition after the join: a filter on _q_use alone would be pushed below it, with the statistics once more
+    good = F.when(F.col("_q_use"), F.coalesce(F.col("_q_far"), F.lit(0.0)) <= CUT).otherwise(F.lit(False))
+    kept = verdict(e.select("*", *(x.alias(f"v{i}") for i, x in enumerate(vector(s)))), now).filter(good)
     return kept.select([F.col(f"_own{i}").alias(c) for i, c in enumerate(mine)])
