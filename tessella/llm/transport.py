@@ -2,9 +2,10 @@
 
 `mux` writes one program with one private elementary stream: a program association table and a program map table
 ahead of every random-access point, then elementary packets of up to PES_BYTES, each with a presentation timestamp;
-the first packet of each also carries a program clock reference and the random-access flag. `demux` reads any
-stream of this kind: it follows the tables to the elementary streams, checks continuity counters, puts elementary
-packets together again and keeps timestamps and the byte positions of random-access points.
+the first packet of each also carries a program clock reference and the random-access flag. `demux` reads streams
+of any number of programs: it follows the tables, also those of several packets, to the elementary streams, checks
+continuity counters, puts elementary packets together again and keeps timestamps and the byte positions of
+random-access points.
 """
 
 from __future__ import annotations
@@ -107,6 +108,7 @@ class Stream:
 
     pid: int
     kind: int
+    program: int
     packets: list[bytes] = field(default_factory=list)
     pts: list[int | None] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)
@@ -119,38 +121,111 @@ class Parsed:
     continuity_errors: int = 0
     sync_errors: int = 0
     crc_errors: int = 0
-
-
-def read_section(body: bytes) -> bytes | None:
-    """The checked section that starts in this packet's body; None if it is cut or damaged."""
-    if not body or len(body) < 1 + body[0] + 3:
+    transport_errors: int = 0
+    lost_packets: int = 0
+
+
+#: Longest program table section, and stream ids whose elementary packets have no header beyond their length (maps,
+#: padding, private 2, ECM, EMM, DSM-CC, H.222.1 type E, directory).
+MOST_SECTION = 1024
+PADDING_ID, PLAIN_IDS = 0xBE, frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF))
+
+
+class Sections:
+    """Puts the sections of one table's packets together; one may take several packets, and a packet may hold several."""
+
+    def __init__(self):
+        self.held = b""
+
+    def take(self, body: bytes, unit: bool, gap: bool) -> list[bytes | None]:
+        """The sections that end in this packet's body; None stands for one that is cut."""
+        out: list[bytes | None] = []
+        held, self.held = self.held, b""
+        if gap and held:
+            out.append(None)
+            held = b""
+        if unit:
+            start = 1 + body[0] if body else 0
+            if held:
+                out += self.cut(held + body[1:start])
+                if self.held:
+                    out.append(None)
+                    self.held = b""
+            return out + self.cut(body[start:])
+        return out + self.cut(held + body) if held else out
+
+    def cut(self, data: bytes) -> list[bytes | None]:
+        out: list[bytes | None] = []
+        while data and data[0] != 0xFF:  # stuffing follows
+            size = 3 + ((data[1] & 15) << 8 | data[2]) if len(data) >= 3 else MOST_SECTION
+            if size > MOST_SECTION:
+                return [*out, None]
+            if len(data) < size:
+                self.held = data
+                break
+            out.append(data[:size])
+            data = data[size:]
+        return out
+
+
+def read_pes(pes: bytes) -> tuple[bytes, int | None] | None:
+    """Payload and presentation timestamp of an elementary packet; None if it is cut or no such packet."""
+    if len(pes) < 6 or pes[:3] != b"\0\0\1":
+        return None
+    size, plain = pes[4] << 8 | pes[5], pes[3] in PLAIN_IDS
+    if len(pes) < 6 + size or not plain and (len(pes) < 9 or len(pes) < 9 + pes[8] or size and size < 3 + pes[8]):
         return None
-    s = body[1 + body[0] :]
-    s = s[: 3 + ((s[1] & 15) << 8 | s[2])]
-    return s if len(s) >= 12 and crc32_mpeg(s) == 0 else None
+    body, time = pes[6 if plain else 9 + pes[8] : 6 + size if size else len(pes)], None
+    if not plain and pes[7] & 0x80 and pes[8] >= 5:
+        t = pes[9:14]
+        time = (t[0] & 14) << 29 | t[1] << 22 | (t[2] & 254) << 14 | t[3] << 7 | t[4] >> 1
+    return body, time
 
 
 def demux(data: bytes) -> Parsed:
+    """All elementary streams that the program tables name. Elementary packets that lack a part (after a gap of the
+    continuity counter, or cut) are left out and counted in lost_packets, as is what a stream has before its first start
+    of a packet. A packet may come twice; a jump that its discontinuity flag announces is no error."""
     out = Parsed([])
-    maps: set[int] = set()
+    tables = {PAT_PID: Sections()}
     streams: dict[int, Stream] = {}
     pending: dict[int, list[bytes]] = {}
     last: dict[int, int] = {}
-    seen: dict[bytes, bytes | None] = {}
+    again: set[int] = set()  # pids whose last packet came twice
+    whole: dict[bytes, bool] = {}
 
     def flush(pid: int) -> None:
         parts = pending.pop(pid, None)
         if not parts:
             return
         pes = b"".join(parts)
-        if len(pes) < 9 or pes[:3] != b"\0\0\1":
+        if pes[3:4] == bytes([PADDING_ID]) and pes[:3] == b"\0\0\1":
+            return
+        found = read_pes(pes)
+        if found is None:
+            out.lost_packets += 1
+            return
+        streams[pid].packets.append(found[0])
+        streams[pid].pts.append(found[1])
+
+    def apply(pid: int, s: bytes | None) -> None:
+        if s is not None and s not in whole:
+            whole[s] = len(s) >= 12 and crc32_mpeg(s) == 0
+        if s is None or not whole[s]:
+            out.crc_errors += 1
+        elif not s[5] & 1:  # not valid yet
             return
-        size, start, time = pes[4] << 8 | pes[5], 9 + pes[8], None
-        if pes[7] & 0x80 and len(pes) >= 14:
-            t = pes[9:14]
-            time = (t[0] & 14) << 29 | t[1] << 22 | (t[2] & 254) << 14 | t[3] << 7 | t[4] >> 1
-        streams[pid].packets.append(pes[start : 6 + size] if size else pes[start:])
-        streams[pid].pts.append(time)
+        elif pid == PAT_PID and s[0] == 0:
+            for i in range(8, len(s) - 4, 4):
+                if s[i] or s[i + 1]:
+                    tables.setdefault((s[i + 2] & 31) << 8 | s[i + 3], Sections())
+        elif pid != PAT_PID and s[0] == 2:
+            i = 12 + ((s[10] & 15) << 8 | s[11])
+            while i + 5 <= len(s) - 4:
+                es = (s[i + 1] & 31) << 8 | s[i + 2]
+                if es not in streams and es not in tables:
+                    streams[es] = Stream(es, s[i], s[3] << 8 | s[4])
+                i += 5 + ((s[i + 3] & 15) << 8 | s[i + 4])
 
     pos, n = 0, len(data)
     while pos + PACKET <= n:
@@ -160,49 +235,46 @@ def demux(data: bytes) -> Parsed:
             while pos + PACKET <= n and not (data[pos] == SYNC and (pos + PACKET == n or data[pos + PACKET] == SYNC)):
                 pos += 1
             continue
+        at, end = pos + 4, pos + PACKET
         b1, b3 = data[pos + 1], data[pos + 3]
         pid, unit, flags, cc = (b1 & 31) << 8 | data[pos + 2], b1 & 0x40, b3 & 0x30, b3 & 15
-        at, end = pos + 4, pos + PACKET
+        start, pos = pos, end
         out.n_packets += 1
-        access = False
+        if b1 & 0x80:  # damaged on its way; not even its pid is certain
+            out.transport_errors += 1
+            continue
+        access = jump = False
         if flags & 0x20:
-            access = data[at] > 0 and bool(data[at + 1] & 0x40)
+            if data[at]:
+                access, jump = bool(data[at + 1] & 0x40), bool(data[at + 1] & 0x80)
             at += 1 + data[at]
-        if flags & 0x10 and pid != 0x1FFF:
-            if pid in last and cc != last[pid] + 1 & 15:
-                if cc == last[pid] and pid in streams:  # a repeated packet
-                    pos += PACKET
-                    continue
-                out.continuity_errors += 1
-            last[pid] = cc
-            if pid == PAT_PID or pid in maps:
-                if unit:
-                    body = data[at:end]
-                    if body not in seen:
-                        seen[body] = read_section(body)
-                    s = seen[body]
-                    if s is None:
-                        out.crc_errors += 1
-                    elif pid == PAT_PID and s[0] == 0:
-                        maps |= {(s[i + 2] & 31) << 8 | s[i + 3] for i in range(8, len(s) - 4, 4) if s[i] or s[i + 1]}
-                    elif s[0] == 2:
-                        i = 12 + ((s[10] & 15) << 8 | s[11])
-                        while i + 5 <= len(s) - 4:
-                            es = (s[i + 1] & 31) << 8 | s[i + 2]
-                            if es not in streams:
-                                streams[es] = Stream(es, s[i])
-                            i += 5 + ((s[i + 3] & 15) << 8 | s[i + 4])
-            elif pid in streams:
-                if unit:
-                    flush(pid)
-                    pending[pid] = []
-                    if access:
-                        streams[pid].random_access.append(pos)
-                if pid in pending:
-                    pending[pid].append(data[at:end])
-        pos += PACKET
+        if not flags & 0x10 or pid == 0x1FFF:
+            continue
+        gap = False
+        if pid in last and cc != last[pid] + 1 & 15:
+            if cc == last[pid] and not jump and pid not in again:  # a repeated packet
+                again.add(pid)
+                continue
+            gap = True
+            out.continuity_errors += not jump
+        last[pid] = cc
+        again.discard(pid)
+        if pid in tables:
+            for s in tables[pid].take(data[at:end], bool(unit), gap):
+                apply(pid, s)
+        elif pid in streams:
+            if gap and pending.pop(pid, None):
+                out.lost_packets += 1
+            if unit:
+                flush(pid)
+                pending[pid] = []
+                if access:
+                    streams[pid].random_access.append(start)
+            if pid in pending:
+                pending[pid].append(data[at:end])
     for pid in list(pending):
         flush(pid)
+    out.crc_errors += sum(bool(t.held) for t in tables.values())
     out.streams = [streams[p] for p in sorted(streams)]
     return out
 
@@ -226,12 +298,12 @@ def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     return map_batches(df.select(F.col(id_col), F.col(text_col)), make, f"`{id_col}` {kind}, n_bytes long, `{out}` binary")
 
 
-PARSED = "payload binary, n_packets long, n_streams int, stream_pid int, stream_type int, pts array<bigint>, random_access array<bigint>, continuity_errors long, sync_errors long, crc_errors long"
+PARSED = "payload binary, n_packets long, n_streams int, stream_pid int, stream_type int, pts array<bigint>, random_access array<bigint>, continuity_errors long, sync_errors long, crc_errors long, transport_errors long, lost_packets long"
 
 
 def parse_media(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """`df` with what its transport streams hold: the first elementary stream's bytes, timestamps (90 kHz) and
-    random-access points (byte positions of packets), and error counts.
+    """`df` with what its transport streams hold: the bytes of the elementary stream of the least pid, its timestamps
+    (90 kHz) and random-access points (byte positions of packets), and error counts. `media_streams` gives all streams.
 
     Null, empty or foreign bytes give an empty payload, no streams and null pid and type; damaged packets are
     counted and skipped. Columns of these names that `df` already has are replaced.
@@ -252,7 +324,7 @@ def parse_media(df: DataFrame, media_col: str = "media") -> DataFrame:
                 pa.array([s and s.kind for s in first], pa.int32()),
                 pa.array([s.pts if s else [] for s in first], pa.list_(pa.int64())),
                 pa.array([s.random_access if s else [] for s in first], pa.list_(pa.int64())),
-                *(pa.array([getattr(r, k) for r in rows], pa.int64()) for k in names[-3:]),
+                *(pa.array([getattr(r, k) for r in rows], pa.int64()) for k in names[-5:]),
             ]
             return pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *names])
 
@@ -261,6 +333,33 @@ def parse_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     return map_batches(df, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + PARSED)
 
 
+def media_streams(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """Rows (id, program, pid, type, payload, pts, random_access), one for each elementary stream of each row of `df`, by
+    pid; what holds no stream gives no row. Repeated rows give repeated streams; other columns are not read."""
+
+    def make():
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            at, found = [], []
+            for i, x in enumerate(b.column(1).to_pylist()):
+                for s in demux(x or b"").streams:
+                    at.append(i)
+                    found.append(s)
+            new = [
+                pa.array([s.program for s in found], pa.int32()),
+                pa.array([s.pid for s in found], pa.int32()),
+                pa.array([s.kind for s in found], pa.int32()),
+                pa.array([b"".join(s.packets) for s in found], pa.binary()),
+                pa.array([s.pts for s in found], pa.list_(pa.int64())),
+                pa.array([s.random_access for s in found], pa.list_(pa.int64())),
+            ]
+            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *new], names=[id_col, "program", "pid", "type", "payload", "pts", "random_access"])
+
+        return batch
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return map_batches(df.select(F.col(id_col), F.col(media_col)), make, f"`{id_col}` {kind}, program int, pid int, type int, payload binary, pts array<bigint>, random_access array<bigint>")
+
+
 def media_digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per row: sizes and hashes of the stored stream and of the payload read back, and a feature string. A null text
     is empty: 0 bytes, a payload of 64 zero bytes. Null ids pass through, repeated rows stay, an empty table gives an empty

@@ -140,6 +140,71 @@ def test_damaged_transport():
     assert transport.demux(bytes(bad)).crc_errors == 1
 
 
+def packets_of(pid, data, cc=0):
+    """Packets of one pid without adaptation fields; the last is filled up with 255, as after a section."""
+    parts = [data[i : i + 184].ljust(184, b"\xff") for i in range(0, len(data), 184)]
+    return [bytes([0x47, 0x40 * (i == 0) | pid >> 8, pid & 255, 0x10 | (cc + i) & 15]) + p for i, p in enumerate(parts)]
+
+
+def pes_of(payload):
+    return b"\0\0\1\xbd" + (len(payload) + 8).to_bytes(2, "big") + b"\x84\x80\5" + transport.stamp(7) + payload
+
+
+def test_transport_of_several_streams(spark):
+    """Two programs, a map of three packets, two streams that alternate, and one of private data without a header."""
+    pids = [0x200 + i for i in range(90)]
+    pat = b"\0\1\xe1\0\0\2\xe1\1"
+    one = b"\xe2\0\xf0\0" + b"".join(bytes([6]) + (0xE000 | p).to_bytes(2, "big") + b"\xf0\0" for p in pids)
+    two = b"\xe3\0\xf0\0" + b"\x1b\xe3\0\xf0\0"
+    head = packets_of(0, b"\0" + transport.section(0, 1, pat)) + packets_of(0x100, b"\0" + transport.section(2, 1, one)) + packets_of(0x101, b"\0" + transport.section(2, 2, two))
+    assert len(head) == 5
+    a, b = random.Random(1).randbytes(1000), random.Random(2).randbytes(700)
+    plain = b"\0\0\1\xbf" + (300).to_bytes(2, "big") + b"p" * 300
+    pa_, pb, pc = packets_of(0x200, pes_of(a)), packets_of(0x201, pes_of(b)), packets_of(0x300, plain)
+    mixed = [p for row in zip(pa_ + [b""] * 9, pb + [b""] * 9, pc + [b""] * 9) for p in row]
+    data = b"".join(head + mixed)
+    got = {s.pid: s for s in transport.demux(data).streams}
+    assert sorted(got) == [*pids, 0x300] and (got[0x300].program, got[0x300].kind) == (2, 0x1B) and got[0x201].program == 1
+    assert got[0x200].packets == [a] and got[0x201].packets == [b] and got[0x300].packets == [b"p" * 300]
+    assert got[0x200].pts == [7] and got[0x300].pts == [None]
+    d = spark.createDataFrame([(1, data), (2, None), (1, data), (None, b"x")], "doc_id long, media binary")
+    rows = transport.media_streams(d).filter("length(payload) > 0").collect()
+    assert sorted((r.doc_id, r.pid, bytes(r.payload)) for r in rows) == sorted([(1, 0x200, a), (1, 0x201, b), (1, 0x300, b"p" * 300)] * 2)
+    cut = transport.demux(b"".join(head[:2] + head[3:] + mixed))  # the map lacks its middle
+    assert [s.pid for s in cut.streams] == [0x300] and cut.continuity_errors == 1 and cut.crc_errors == 1
+
+
+def test_transport_gaps():
+    x = bytes(range(256)) * 200
+    m = transport.mux(x)
+    packets = [m[i : i + 188] for i in range(0, len(m), 188)]
+    whole = transport.demux(m).streams[0].packets
+    lost = transport.demux(b"".join(packets[:5] + packets[6:]))
+    assert lost.lost_packets == 1 and lost.streams[0].packets == whole[1:]
+    twice = transport.demux(b"".join([*packets[:5], packets[4], *packets[5:]]))
+    assert twice.continuity_errors == 0 and twice.streams[0].packets == whole
+    thrice = transport.demux(b"".join([*packets[:5], packets[4], packets[4], *packets[5:]]))
+    assert thrice.continuity_errors == 1 and thrice.streams[0].packets == whole[1:]
+    damaged = transport.demux(b"".join([*packets[:5], bytes([0x47, packets[5][1] | 0x80]) + packets[5][2:], *packets[6:]]))
+    assert damaged.transport_errors == 1 and damaged.continuity_errors == 1 and damaged.streams[0].packets == whole[1:]
+    first = next(i for i in range(3, len(packets)) if packets[i][1] & 0x40 and packets[i][3] & 0x20 and packets[i][2] == 1)
+    p = bytearray(packets[first])
+    p[3] ^= 8  # another counter, which the flag announces, for this packet only
+    p[5] |= 0x80
+    jump = transport.demux(b"".join([*packets[:first], bytes(p)]))
+    assert jump.continuity_errors == 0 and len(jump.streams[0].random_access) == 1
+    for k in range(0, len(m), 997):  # whatever is cut off, what is left is right
+        t = transport.demux(m[:k])
+        got = t.streams[0].packets if t.streams else []
+        assert got == whole[: len(got)]
+    r = random.Random(6)
+    for _ in range(200):  # damaged bytes never crash it
+        y = bytearray(m[: 188 * 60])
+        for _ in range(r.randint(1, 200)):
+            y[r.randrange(len(y))] = r.randrange(256)
+        transport.demux(bytes(y))
+
+
 # 2, 7: spans
 
 
