@@ -1,8 +1,12 @@
-"""Byte-level BPE by merge replay over the distinct words of many texts.
+"""Byte-level BPE by merge replay over the distinct words of the corpus.
 
-The words of a batch of texts are laid end to end as one linked list of byte tokens. An inverted index leads from
-each mergeable token pair, numbered by the rank of what it makes, to the positions where it stands. Ranks are taken
-in order; a merge touches its two neighbours only, whose new pairs are entered into the index.
+Texts are cut into words, and go in blocks of about BLOCK_BYTES. Each block sends its distinct words (but those that are
+one token anyway) to the words' parts by a hash; so all blocks' copies of a word meet in one part, where it is replayed
+once for the whole corpus. Its ids go back to the blocks, whose texts are put together from them.
+
+In a replay, words are laid end to end as one linked list of byte tokens. An inverted index leads from each mergeable
+token pair, numbered by the rank of what it makes, to the positions where it stands. Ranks are taken in order; a merge
+touches its two neighbours only, whose new pairs are entered into the index.
 
 Ranks belong to byte strings, so a merge can bring forth a pair of a lower (or the same) rank. The queue then takes
 that one first, and the rest of its word waits: within a word the order is always lowest rank first, then leftmost.
@@ -12,20 +16,32 @@ from __future__ import annotations
 
 import base64
 import heapq
+import math
+import zlib
 from array import array
 from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_batches
+from tessella.llm.common import map_batches, small_batches, tidy
 
 #: Distinct words in each of the two generations that a task remembers, and bytes of words that one replay takes at once.
 CACHE = 400_000
 REPLAY_BYTES = 1 << 17
+#: Bytes of texts in a block, and what a row counts besides its text.
+BLOCK_BYTES, ROW_BYTES = 4 << 20, 64
+#: Parts of the words: this many times the square root of the corpus in units of PART_BYTES, as a corpus has far fewer
+#: distinct words than words. A part of more than 2 * CACHE words replays some of them again.
+PARTS, PART_BYTES = 8, 64 << 20
 
 
 class MergeReplay:
@@ -152,17 +168,36 @@ class MergeReplay:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, packed as little-endian unsigned 32-bit integers."""
         cuts = [self.cut(t) if t else [] for t in texts]
+        self.recall(w for c in cuts for w in c)
+        return [b"".join(map(self.packed.__getitem__, c)) for c in cuts]
+
+    def recall(self, words: Iterable[str]) -> dict[str, bytes]:
+        """A table that has, among others, the packed ids of these words; each that is new is replayed."""
         if len(self.packed) > CACHE:
             self.older, self.packed = self.packed, {}
         new = []
-        for w in dict.fromkeys(w for c in cuts for w in c if w not in self.packed):
+        for w in dict.fromkeys(w for w in words if w not in self.packed):
             known = self.older.get(w)
             if known is None:
                 new.append(w)
             else:
                 self.packed[w] = known
         self.learn(new)
-        return [b"".join(map(self.packed.__getitem__, c)) for c in cuts]
+        return self.packed
+
+    def by_part(self, words: Iterable[str], parts: int) -> tuple[dict[str, bytes], dict[int, list[bytes]]]:
+        """Distinct words that are one token, with its packed id; and the others' bytes by part, in order."""
+        ranks, known, rest = self.ranks, {}, defaultdict(list)
+        for w in set(words):
+            b = w.encode()
+            r = ranks.get(b)
+            if r is None:
+                rest[zlib.crc32(b) % parts].append(b)
+            else:
+                known[w] = r.to_bytes(4, "little")
+        for x in rest.values():
+            x.sort()
+        return known, rest
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, unpack(packed)))
@@ -184,31 +219,146 @@ def replayer(path: str, pattern: str) -> MergeReplay:
     return MergeReplay(path, pattern)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "token_ids", back: str | None = None, reuse: bool = True, texts_at_once: int = 500) -> DataFrame:
-    """`df` with a binary column `out`: the ids of `text_col`, packed as little-endian unsigned 32-bit integers. With
-    `back`, a binary column of that name has the bytes that these ids decode to. With `reuse` the words that a Python
-    worker has learned serve its later tasks; without it their memory is free after each task.
+SEPARATOR = b"\xff"  # is in no UTF-8 text
 
-    Null and empty texts give an empty value. All other columns, their nulls and repeated rows pass through; columns
-    that are already called so are replaced.
-    """
-    new = [out, back] if back else [out]
-    df = df.drop(*new)
-    at = df.columns.index(text_col)
 
-    def make():
-        r = replayer(path, pattern) if reuse else MergeReplay(path, pattern)
+def name_of(words: bytes) -> bytes:
+    return blake2b(words, digest_size=16).digest()
 
-        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts, ids = b.column(at).to_pylist(), []
-            for i in range(0, len(texts), texts_at_once):
-                ids += r.encode(texts[i : i + texts_at_once])
-            made = [ids, map(r.decode, ids)] if back else [ids]
-            return pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.binary()) for x in made)], names=[*b.schema.names, *new])
 
-        return batch
+def pack_ids(each: list[bytes]) -> bytes:
+    return zlib.compress(np.array([len(x) for x in each], "<u4").tobytes() + b"".join(each), 1)
+
+
+def unpack_ids(packed: bytes, n: int) -> list[bytes]:
+    raw = zlib.decompress(packed)
+    ends = (np.frombuffer(raw, "<u4", n).astype(np.int64).cumsum() + 4 * n).tolist()
+    return [raw[i:j] for i, j in zip([4 * n, *ends], ends, strict=False)]
+
+
+class Blocks:
+    """Numbers the blocks of one task's texts; a text belongs to the block in which it begins."""
+
+    def __init__(self):
+        self.base, self.done = TaskContext.get().partitionId() << 32, 0
 
-    return map_batches(df, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{c}` binary" for c in new))
+    def of(self, texts: pa.Array) -> np.ndarray:
+        cost = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES
+        ends = self.done + cost.cumsum()
+        self.done = int(ends[-1]) if len(ends) else self.done
+        return self.base + (ends - cost) // BLOCK_BYTES
+
+
+def words_of_blocks(df: DataFrame, path: str, pattern: str, parts: int) -> DataFrame:
+    """Rows (block, part, words) of texts in `df` (one column): a block's distinct words of a part, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, blocks, now, words = replayer(path, pattern), Blocks(), None, set()
+
+        def sent() -> pa.RecordBatch:
+            rest = r.by_part(words, parts)[1]
+            blobs = [zlib.compress(SEPARATOR.join(x), 1) for x in rest.values()]
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(rest), pa.int64()), pa.array(rest.keys(), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "part", "words"])
+
+        for b in batches:
+            for block, t in zip(blocks.of(b.column(0)).tolist(), b.column(0), strict=True):
+                if block != now:
+                    if words:
+                        yield sent()
+                    now, words = block, set()
+                t = t.as_py()
+                if t:
+                    words.update(r.cut(t))
+        if words:
+            yield sent()
+        tidy()
+
+    return df.mapInArrow(run, "block long, part int, words binary")
+
+
+def replayed(sent: DataFrame, path: str, pattern: str, parts: int) -> DataFrame:
+    """Rows (block, part, name, ids) of `words_of_blocks`: all blocks' words of a part meet in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = MergeReplay(path, pattern)
+        for b in batches:
+            for i in range(b.num_rows):
+                raw = zlib.decompress(b.column(2)[i].as_py())
+                words = raw.decode("utf-8", "surrogateescape").split("\udcff")
+                table = r.recall(words)
+                one = [pa.array([name_of(raw)], pa.binary()), pa.array([pack_ids([table[w] for w in words])], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), *one], names=["block", "part", "name", "ids"])
+        del r
+        tidy()
+
+    return sent.repartition(parts, "part").mapInArrow(run, "block long, part int, name binary, ids binary")
+
+
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "token_ids", back: str | None = None) -> DataFrame:
+    """`df` with a binary column `out`: the ids of `text_col`, packed as little-endian unsigned 32-bit integers. With
+    `back`, a binary column of that name has the bytes that these ids decode to.
+
+    Null and empty texts give an empty value. All other columns, their nulls and repeated rows pass through; columns
+    that are already called so are replaced. An empty table gives an empty result. Texts of any length are one block at
+    most. Should a rerun part texts into other blocks than those whose words were replayed, the names of the words don't
+    match, and the block's words are replayed where they are.
+    """
+    new = [out, back] if back else [out]
+    df = small_batches(df.drop(*new))
+    own = [f"_own{i}" for i in range(len(df.columns))]
+    at, names = df.columns.index(text_col), df.columns
+    size = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("long"))).first()[0] or 0
+    parts = PARTS * math.ceil(math.sqrt(max(1, size / PART_BYTES)))
+    learned = replayed(words_of_blocks(df.select(F.col(f"`{text_col}`")), path, pattern, parts), path, pattern, parts)
+    fields = [f"{o} {f.dataType.simpleString()}" for o, f in zip(own, df.schema, strict=True)]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(blocks.of(b.column(at)), pa.int64())], names=[*own, "block"])
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, now = replayer(path, pattern), None
+        ids: dict[int, tuple[bytes, bytes]] = {}
+        held: list[pa.RecordBatch] = []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            cuts = [[r.cut(t) if t else [] for t in b.column(at).to_pylist()] for b in held]
+            table, rest = r.by_part((w for x in cuts for c in x for w in c), parts)
+            for part, words in rest.items():
+                name, packed = ids.get(part, (None, b""))
+                if name == name_of(SEPARATOR.join(words)):
+                    table.update(zip((w.decode() for w in words), unpack_ids(packed, len(words)), strict=True))
+                else:
+                    table.update(zip((w.decode() for w in words), map(pack, r.replay(words)), strict=True))
+            for b, x in zip(held, cuts, strict=True):
+                done = [b"".join(map(table.__getitem__, c)) for c in x]
+                both = [done, map(r.decode, done)] if back else [done]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *(pa.array(y, pa.binary()) for y in both)], names=[*names, *new])
+
+        for b in batches:
+            block, text = b.column(len(own)).to_numpy(), pc.is_null(b.column(len(own) + 1)).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (text[1:] != text[:-1])) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for i, j in zip(edges, edges[1:], strict=False):
+                if block[i] != now:
+                    yield from made()
+                    now, ids, held = block[i], {}, []
+                if text[i]:
+                    held.append(b.slice(i, j - i))
+                else:
+                    cols = (b.column(len(own) + k).slice(i, j - i).to_pylist() for k in (1, 2, 3))
+                    ids.update((part, (name, x)) for part, name, x in zip(*cols, strict=True))
+        yield from made()
+        held.clear()
+        tidy()
+
+    texts = df.mapInArrow(number, ", ".join([*fields, "block long"])).selectExpr("*", "CAST(NULL AS INT) AS part", "CAST(NULL AS BINARY) AS name", "CAST(NULL AS BINARY) AS ids")
+    nothing = [F.lit(None).cast(f.dataType).alias(o) for o, f in zip(own, df.schema, strict=True)]
+    both = texts.unionByName(learned.select(*nothing, "block", "part", "name", "ids"))
+    # a block's ids stand before its texts
+    met = both.repartition("block").sortWithinPartitions("block", F.col("part").asc_nulls_last())
+    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, df.schema, strict=True)) + "".join(f", `{c}` binary" for c in new)
+    return met.mapInArrow(assemble, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:

@@ -59,15 +59,17 @@ def tidy() -> None:
         pass
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with state made once per task: `make()` returns the function of a batch, which has about BATCH_BYTES.
-
-    Where the session still has Spark's default of rows in an Arrow batch, it gets ROWS: texts are long rows, and the
-    buffers of every task hold a whole batch.
-    """
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose session gets ROWS in an Arrow batch where it still has Spark's default: texts are long rows, and the
+    buffers of every task hold a whole batch."""
     conf = df.sparkSession.conf
     if conf.get(ARROW_ROWS, "10000") == "10000":
         conf.set(ARROW_ROWS, str(ROWS))
+    return df
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with state made once per task: `make()` returns the function of a batch, which has about BATCH_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -78,7 +80,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         del f
         tidy()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def words(text: Column) -> Column:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,26 @@ def test_bpe_random_strings():
     assert [bpe.unpack(x) for x in m.encode(texts)] == [lib.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_over_blocks(spark):
+    """Texts of several blocks and partitions, repeated rows, a column called as the inner ones; each word has one part."""
+    path, pattern = registry.vocabulary("byte_bpe_multi_50k.tiktoken"), registry.pattern()
+    r = random.Random(8)
+    texts = [None, "", "\n", *(" ".join("".join(r.choices("abcdé日 ", k=r.randint(1, 9))) for _ in range(n)) for n in [40] * 300 + [3000] * 30 + [900_000])]
+    d = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate([*texts, *texts[:40]])], "doc_id long, text string, block long, `a.b` string").repartition(3)
+    m = bpe.MergeReplay(path, pattern)
+    got = bpe.encode(d, path, pattern, back="decoded").collect()
+    assert sorted((x.doc_id, x.text or "", x.block, x["a.b"]) for x in got) == sorted((i, t or "", i, "x") for i, t in enumerate([*texts, *texts[:40]]))
+    want = dict(zip(texts, m.encode(texts), strict=True))
+    assert all(bytes(x.token_ids) == want[x.text] and bytes(x.decoded) == (x.text or "").encode() for x in got)
+    assert bpe.encode(d.filter("doc_id < 0"), path, pattern).count() == 0
+    part, blocks = {}, set()
+    for x in bpe.words_of_blocks(d.select("text"), path, pattern, 5).collect():
+        blocks.add(x.block)
+        for w in zlib.decompress(x.words).split(bpe.SEPARATOR):
+            assert part.setdefault(w, x.part) == x.part and w not in m.ranks
+    assert len(blocks) > 3 and set(part) == {b for t in texts if t for w in m.cut(t) if (b := w.encode()) not in m.ranks}
+
+
 def test_token_counts_are_the_library(docs, rows, none):
     import sentencepiece
 
