@@ -43,7 +43,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are replaced; repeated rows and all other columns stay; an empty table stays empty."""
     docs = docs.drop("token_ids", "n_tokens", "round_trip", "decoded")
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    done = bpe.encode(docs, path, pattern(), back="decoded", reuse=False)
+    done = bpe.encode(docs, path, pattern(), back="decoded")
     own = [f"`{c}`" for c in docs.columns]
     return done.selectExpr(*own, "token_ids", "CAST(length(token_ids) / 4 AS BIGINT) AS n_tokens", "decoded = CAST(coalesce(text, '') AS BINARY) AS round_trip")
 
