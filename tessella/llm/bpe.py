@@ -2,7 +2,7 @@
 
 Texts are cut into words, and go in blocks of about BLOCK_BYTES. Each block sends its distinct words (but those that are
 one token anyway) to the words' parts by a hash; so all blocks' copies of a word meet in one part, where it is replayed
-once for the whole corpus. Its ids go back to the blocks, whose texts are put together from them.
+once for the whole corpus. Its ids go back to the blocks, whose texts (compressed on their way) are put together from them.
 
 In a replay, words are laid end to end as one linked list of byte tokens. An inverted index leads from each mergeable
 token pair, numbered by the rank of what it makes, to the positions where it stands. Ranks are taken in order; a merge
@@ -261,12 +261,11 @@ def words_of_blocks(df: DataFrame, path: str, pattern: str, parts: int) -> DataF
             return pa.RecordBatch.from_arrays([pa.array([now] * len(rest), pa.int64()), pa.array(rest.keys(), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "part", "words"])
 
         for b in batches:
-            for block, t in zip(blocks.of(b.column(0)).tolist(), b.column(0), strict=True):
+            for block, t in zip(blocks.of(b.column(0)).tolist(), b.column(0).to_pylist(), strict=True):
                 if block != now:
                     if words:
                         yield sent()
                     now, words = block, set()
-                t = t.as_py()
                 if t:
                     words.update(r.cut(t))
         if words:
@@ -305,17 +304,20 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out:
     """
     new = [out, back] if back else [out]
     df = small_batches(df.drop(*new))
-    own = [f"_own{i}" for i in range(len(df.columns))]
-    at, names = df.columns.index(text_col), df.columns
-    size = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("long"))).first()[0] or 0
+    at, names, kinds = df.columns.index(text_col), df.columns, [f.dataType.simpleString() for f in df.schema]
+    own = [f"_own{i}" for i in range(len(names))]
+    df = df.toDF(*own)
+    size = df.agg(F.sum(F.octet_length(own[at]).cast("long"))).first()[0] or 0
     parts = PARTS * math.ceil(math.sqrt(max(1, size / PART_BYTES)))
-    learned = replayed(words_of_blocks(df.select(F.col(f"`{text_col}`")), path, pattern, parts), path, pattern, parts)
-    fields = [f"{o} {f.dataType.simpleString()}" for o, f in zip(own, df.schema, strict=True)]
+    learned = replayed(words_of_blocks(df.select(own[at]), path, pattern, parts), path, pattern, parts)
+    sent = ["binary" if i == at else k for i, k in enumerate(kinds)]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Blocks()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(blocks.of(b.column(at)), pa.int64())], names=[*own, "block"])
+            cols = b.columns
+            cols[at] = pa.array([t and zlib.compress(t.encode(), 1) for t in b.column(at).to_pylist()], pa.binary())  # an empty text has no byte
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(blocks.of(b.column(at)), pa.int64())], names=[*own, "block"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, now = replayer(path, pattern), None
@@ -323,7 +325,8 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out:
         held: list[pa.RecordBatch] = []
 
         def made() -> Iterator[pa.RecordBatch]:
-            cuts = [[r.cut(t) if t else [] for t in b.column(at).to_pylist()] for b in held]
+            texts = [[t if t is None else zlib.decompress(t).decode() if t else "" for t in b.column(at).to_pylist()] for b in held]
+            cuts = [[r.cut(t) if t else [] for t in x] for x in texts]
             table, rest = r.by_part((w for x in cuts for c in x for w in c), parts)
             for part, words in rest.items():
                 name, packed = ids.get(part, (None, b""))
@@ -331,10 +334,12 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out:
                     table.update(zip((w.decode() for w in words), unpack_ids(packed, len(words)), strict=True))
                 else:
                     table.update(zip((w.decode() for w in words), map(pack, r.replay(words)), strict=True))
-            for b, x in zip(held, cuts, strict=True):
+            for b, t, x in zip(held, texts, cuts, strict=True):
+                cols = b.columns[: len(own)]
+                cols[at] = pa.array(t, pa.string())
                 done = [b"".join(map(table.__getitem__, c)) for c in x]
                 both = [done, map(r.decode, done)] if back else [done]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *(pa.array(y, pa.binary()) for y in both)], names=[*names, *new])
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(y, pa.binary()) for y in both)], names=[*names, *new])
 
         for b in batches:
             block, text = b.column(len(own)).to_numpy(), pc.is_null(b.column(len(own) + 1)).to_numpy(zero_copy_only=False)
@@ -352,12 +357,12 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out:
         held.clear()
         tidy()
 
-    texts = df.mapInArrow(number, ", ".join([*fields, "block long"])).selectExpr("*", "CAST(NULL AS INT) AS part", "CAST(NULL AS BINARY) AS name", "CAST(NULL AS BINARY) AS ids")
-    nothing = [F.lit(None).cast(f.dataType).alias(o) for o, f in zip(own, df.schema, strict=True)]
+    texts = df.mapInArrow(number, ", ".join([*(f"{o} {k}" for o, k in zip(own, sent, strict=True)), "block long"])).selectExpr("*", "CAST(NULL AS INT) AS part", "CAST(NULL AS BINARY) AS name", "CAST(NULL AS BINARY) AS ids")
+    nothing = [F.lit(None).cast(k).alias(o) for o, k in zip(own, sent, strict=True)]
     both = texts.unionByName(learned.select(*nothing, "block", "part", "name", "ids"))
     # a block's ids stand before its texts
     met = both.repartition("block").sortWithinPartitions("block", F.col("part").asc_nulls_last())
-    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, df.schema, strict=True)) + "".join(f", `{c}` binary" for c in new)
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)) + "".join(f", `{c}` binary" for c in new)
     return met.mapInArrow(assemble, schema)
 
 
