@@ -56,9 +56,13 @@ def postings(keyed: DataFrame, how: Blocking = Blocking(), chunk: str | None = N
 def candidate_pairs(keyed: DataFrame, how: Blocking = Blocking(), chunk: str | None = None) -> DataFrame:
     """Distinct rows (s1_id, target_id) that share a key. Frequent keys are gone before the join, so that none of its
     groups has more than `max_posting` times the records that look for it."""
-    index = postings(keyed, how, chunk)
-    probe = keyed.filter("source <> 1").select(*PARTS, F.col("entity_id").alias("target_id"))
-    return probe.join(index, PARTS).select("s1_id", "target_id").distinct()
+    return probe(keyed, postings(keyed, how, chunk))
+
+
+def probe(keyed: DataFrame, index: DataFrame) -> DataFrame:
+    """Distinct rows (s1_id, target_id) of the targets in `keyed` that share a key with `index`, made by `postings`."""
+    looked = keyed.filter("source <> 1").select(*PARTS, F.col("entity_id").alias("target_id"))
+    return looked.join(index, PARTS).select("s1_id", "target_id").distinct()
 
 
 def index_stats(keyed: DataFrame, how: Blocking = Blocking()) -> DataFrame:
