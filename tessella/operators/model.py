@@ -17,6 +17,8 @@ from tessella.operators.features import columns
 SEED = 42
 #: As the reference has them: a bound of rounds, and a depth of its 127 leaves.
 MOST_ROUNDS, DEPTH = 4000, 7
+#: Rows of a training task. A round is some ten jobs, so tasks of few rows cost more than they do.
+FEWEST_ROWS, MOST_ROWS = 2000, 200_000
 
 
 def split(df: DataFrame, key: str = "s1_id") -> DataFrame:
@@ -32,12 +34,27 @@ def label(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(true, ["s1_id", "target_id"], "left").withColumn("label", F.coalesce("hit", F.lit(0)).cast("double")).drop("hit")
 
 
+def dealt(d: DataFrame) -> DataFrame:
+    """`d` cached, in as many partitions as training has use for: the cores, unless that leaves a task too few rows or too
+    many. Rows of a partition are sorted, so that reruns draw the same ones."""
+    d = d.persist()
+    rows, cores = d.count(), d.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(cores, rows // FEWEST_ROWS), -(-rows // MOST_ROWS))
+    out = d.repartition(n).sortWithinPartitions(*d.columns).persist()
+    out.count()
+    d.unpersist()
+    return out
+
+
 def train(data: DataFrame, cross_source: bool = True, rounds: int = MOST_ROUNDS, depth: int = DEPTH) -> PipelineModel:
     """Boosted trees on rows (features, label, part). The calibration part ends training: at the first round whose gain
     there is under a hundredth of the loss (Spark's validationTol); `rounds` is only a bound that should not bind."""
-    d = data.filter("part <> 'test'").withColumn("held", F.col("part") == "calibrate")
+    names = columns(cross_source)
+    d = dealt(data.filter("part <> 'test'").select(*names, "label", (F.col("part") == "calibrate").alias("held")))
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.9", minInstancesPerNode=5, seed=SEED, validationIndicatorCol="held")
-    return Pipeline(stages=[VectorAssembler(inputCols=columns(cross_source), outputCol="features"), trees]).fit(d)
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), trees]).fit(d)
+    d.unpersist()
+    return fitted
 
 
 def apply(model: PipelineModel, data: DataFrame) -> DataFrame:

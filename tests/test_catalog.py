@@ -71,6 +71,15 @@ def test_validation_ends_training(spark):
     assert 20 < fitted.stages[1].getNumTrees < model.MOST_ROUNDS
 
 
+def test_training_tasks_follow_the_rows(spark):
+    """However the rows lie: 600 of them are one task, 9,000 one for each core, and none is lost."""
+    for n, parts in ((600, 1), (9000, 4)):
+        d = spark.range(n).repartition(64)
+        out = model.dealt(d)
+        assert out.rdd.getNumPartitions() == parts and out.count() == out.distinct().count() == n
+        out.unpersist()
+
+
 def test_parts_resume(spark, tmp_path):
     schema = "country string, chunk int, s1_id string"
     all_parts = spark.createDataFrame([("US", 0, "a"), ("US", 1, "b"), ("FR", 0, "c")], schema)

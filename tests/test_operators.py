@@ -86,6 +86,31 @@ def test_cross_source_and_competition(spark):
     assert r["S2-1"] == [0.9, 0, 0, 1, 3, 0.2] and r["S3-2"] == [0.6, 2, 0.3, 0.666667, 3, -0.1]
 
 
+def test_rivals_meet_in_groups(spark):
+    """As pairwise sets give it, also for groups over several batches, empty sets and targets without a record; and
+    candidates are joined with no copy of themselves."""
+    sets = {f"S{2 + i % 2}-{i}": [f"t{j}" for j in range(60) if (j * (i + 3) + i) % 7 < 3 and i % 11] for i in range(40)}
+    norm = spark.createDataFrame([(k, v[::2], v) for k, v in sets.items()], "entity_id string, nc array<string>, addr_toks array<string>")
+    rows = [(f"S1-{e}", f"S{2 + i % 2}-{i}", 0.5) for e in range(30) for i in range(e % 5, 42, 1 + e % 6)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = features.cross_source(spark.createDataFrame(rows, "s1_id string, target_id string, score double").coalesce(1), norm)
+        got = {(r.s1_id, r.target_id): [round(r[k], 9) for k in features.CROSS] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def sim(a, b):
+        return len(set(sets[a]) & set(sets[b])) / max(1, len(set(sets[a]) | set(sets[b])))
+
+    def brute(one, two):
+        rest = [t for s, t, _ in rows if s == one and t != two and t in sets] if two in sets else []
+        opp, same = ([sim(two, t) for t in rest if (t[1] == two[1]) == k] for k in (False, True))
+        return [max(opp, default=0.0), round(sum(opp) / max(1, len(opp)), 9), float(sum(x >= 0.5 for x in opp)), max(same, default=0.0)]
+
+    assert got == {(s, t): [round(x, 9) for x in brute(s, t)] for s, t, _ in rows}
+    assert "array_intersect" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_assignment(spark):
     rows = [("e1", "t1", 1, 0.9), ("e1", "t2", 2, 0.6), ("e2", "t1", 1, 0.8), ("e2", "t3", 2, 0.7)]
     d, passes, left = assignment.assign(spark.createDataFrame(rows, "s1_id string, target_id string, rank int, prob double"))
