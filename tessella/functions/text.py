@@ -153,7 +153,7 @@ def address_tokens(c: Column, country: Column) -> Column:
 
 def numeric_tokens_of(folded: Column) -> Column:
     """Distinct tokens of up to eight characters that hold a digit."""
-    return F.array_sort(F.array_distinct(F.filter(tokens(folded), lambda t: t.rlike("[0-9]") & (F.length(t) <= 8))))
+    return F.sort_array(F.array_distinct(F.filter(tokens(folded), lambda t: t.rlike("[0-9]") & (F.length(t) <= 8))))
 
 
 def numeric_tokens(c: Column) -> Column:
@@ -172,7 +172,7 @@ def ngrams(c: Column, n: int = 3) -> Column:
 
 def sorted_text(toks: Column) -> Column:
     """Sorted distinct tokens joined by spaces, so that the order of components is of no account."""
-    return F.array_join(F.array_sort(F.array_distinct(toks)), " ")
+    return F.array_join(F.sort_array(F.array_distinct(toks)), " ")
 
 
 def address_grams(toks: Column) -> Column:

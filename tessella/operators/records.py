@@ -17,7 +17,7 @@ def normalise(records: DataFrame) -> DataFrame:
     """Rows (entity_id, source, id_num, country, nc, nd, addr_toks, numbers, nsq, latin) from source records
     (entity_id, business_name, business_address, country); nulls count as ''."""
     name, address, country = (F.coalesce(F.col(c), F.lit("")) for c in ("business_name", "business_address", "country"))
-    as_set = lambda c: F.array_sort(F.array_distinct(c))
+    as_set = lambda c: F.sort_array(F.array_distinct(c))
     folded = records.select(
         "entity_id",
         F.substring("entity_id", 2, 1).try_cast("tinyint").alias("source"),

@@ -48,11 +48,17 @@ def with_records(pairs: DataFrame, weighed: DataFrame) -> DataFrame:
     return pairs.join(one, "s1_id").join(two, "target_id")
 
 
+def once(d: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """`d` with the columns `made`, computed once for a row. Catalyst takes a filter below a projection, and with it all that
+    the filtered columns are computed from, once more for each mention; it doesn't take one below a generator."""
+    return d.select(*(F.col(c) for c in d.columns if c not in made), F.inline(F.array(F.struct(*(c.alias(k) for k, c in made.items())))))
+
+
 def overlaps(joined: DataFrame) -> DataFrame:
     """`joined` with what the sets of tokens and n-grams share: in_n and in_a (tagged tokens), in_nd, and the numbers of
     shared n-grams, in_ng and in_ag. Every similarity follows from these and the sets' sizes."""
     both = lambda c: F.array_intersect(f"p_{c}", f"q_{c}")
-    return joined.withColumns({"in_n": both("tag_n"), "in_a": both("tag_a"), "in_nd": F.size(both("nd")).cast("double"), "in_ng": F.size(both("ng")).cast("double"), "in_ag": F.size(both("ag")).cast("double")})
+    return once(joined, {"in_n": both("tag_n"), "in_a": both("tag_a"), "in_nd": F.size(both("nd")).cast("double"), "in_ng": F.size(both("ng")).cast("double"), "in_ag": F.size(both("ag")).cast("double")})
 
 
 def of(measure, shared: str, c: str) -> Column:
@@ -88,7 +94,7 @@ def similarities(n_docs: int) -> dict[str, Column]:
 def scored(gate: DataFrame, n_docs: int, w: Weights = Weights(), cos: str | None = None) -> DataFrame:
     """Gated pairs with `score` in [0, 1]: channels with evidence, blended and scaled by trust in their combination.
     `n_docs` is the number of records that the frequencies come from."""
-    d = gate.withColumns(similarities(n_docs))
+    d = once(gate, similarities(n_docs))
     has_addr, has_num, latin = (F.size("p_tag_a") > 0) & (F.size("q_tag_a") > 0), F.col("has_num"), F.col("q_latin")
     zero = F.lit(0.0)
     addr = w.addr_idf * F.col("a_wjac") + w.addr_grams * F.col("a_gram_dice")

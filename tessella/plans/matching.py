@@ -71,17 +71,23 @@ class Matching:
         """Gated pairs with all their columns and the rounded score."""
         return scoring.rounded(scoring.scored(self.gated, self.n_docs, cos=self.cos))
 
+    @cached_property
+    def described(self) -> DataFrame:
+        """`ranked` with PAIR, for which a score's pair has met its records already: they are not joined once more."""
+        d = features.pair_features(self.scored, self.n_docs, cos=self.cos)
+        return shared(scoring.top_k(d.select("s1_id", "target_id", "score", *features.PAIR)))
+
     @cached_property
     def ranked(self) -> DataFrame:
         """Rows (s1_id, target_id, score, rank): the best candidates of each reference record."""
+        if "described" in vars(self):
+            return self.described.select("s1_id", "target_id", "score", "rank")
         return shared(scoring.top_k(self.scored.select("s1_id", "target_id", "score")))
 
     @cached_property
     def featured(self) -> DataFrame:
         """`ranked` candidates with every feature."""
-        d = scoring.with_records(self.with_cosines(self.ranked.select("s1_id", "target_id", "score")), self.rated)
-        d = features.pair_features(d, self.n_docs, cos=self.cos).select("s1_id", "target_id", "score", *features.PAIR)
-        return features.competition(features.cross_source(d, self.norm))
+        return features.competition(features.cross_source(self.described.drop("rank"), self.norm))
 
     def chosen(self, prob: str = "score") -> DataFrame:
         """Rows (s1_id, target_id, prob) after the one-owner assignment; warns if records are still contested."""

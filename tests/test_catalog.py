@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import features, model
+from tessella.operators import features, model, scoring
 from tessella.plans import catalog
 from tessella.sources import tables
 
@@ -35,6 +35,19 @@ def test_query_is_its_sql(spark, name):
     assert sorted(tuple(plain(r[c]) for c in cols) for r in df.collect()) == want
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pairs_are_compared_once(spark):
+    """Filters on the gate and on scores don't make the comparisons again below them, and features come of the same ones."""
+    m = catalog.matching(spark, DATA)
+    best = scoring.top_k(m.scored.select("s1_id", "target_id", "score"))
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 6
+    again = features.pair_features(scoring.with_records(best.select("s1_id", "target_id"), m.rated), m.n_docs)
+    rows = lambda d: sorted(map(tuple, d.select("s1_id", "target_id", *features.PAIR).collect()))
+    assert rows(m.featured) == rows(again) and rows(m.featured)
+    assert sorted(m.ranked.collect()) == sorted(best.collect())
+    assert "array_intersect" not in m.featured._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_entry_without_optional_parts(tmp_path):
     """The entry module still imports where the optional subpackage and the pipeline are gone."""
     root = Path(__file__).resolve().parent.parent
