@@ -12,6 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import boosting
 from tessella.operators.features import columns
 
 SEED = 42
@@ -48,11 +49,17 @@ def dealt(d: DataFrame) -> DataFrame:
 
 def train(data: DataFrame, cross_source: bool = True, rounds: int = MOST_ROUNDS, depth: int = DEPTH) -> PipelineModel:
     """Boosted trees on rows (features, label, part). The calibration part ends training: at the first round whose gain
-    there is under a hundredth of the loss (Spark's validationTol); `rounds` is only a bound that should not bind."""
+    there is under a hundredth of the loss (Spark's validationTol); `rounds` is only a bound that should not bind. Rows that
+    one task takes are learned from in one, more by Spark's jobs for each round."""
     names = columns(cross_source)
-    d = dealt(data.filter("part <> 'test'").select(*names, "label", (F.col("part") == "calibrate").alias("held")))
+    d = data.filter("part <> 'test'").select(*names, "label", (F.col("part") == "calibrate").alias("held")).persist()
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.9", minInstancesPerNode=5, seed=SEED, validationIndicatorCol="held")
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), trees]).fit(d)
+    vectors = VectorAssembler(inputCols=names, outputCol="features")
+    if d.count() <= MOST_ROWS:
+        fitted = PipelineModel([vectors, boosting.fit(trees, d, names)])
+    else:
+        d = dealt(d)
+        fitted = Pipeline(stages=[vectors, trees]).fit(d)
     d.unpersist()
     return fitted
 

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import features, model, scoring
+from tessella.operators import boosting, features, model, scoring
 from tessella.plans import catalog
 from tessella.sources import tables
 
@@ -93,6 +93,33 @@ def test_training_tasks_follow_the_rows(spark):
         out.unpersist()
 
 
+def test_trees_of_one_task_are_sparks(spark):
+    """Without draws they are the same trees; few rows are learned from in a few jobs, not some ten for each tree."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    draw = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100003)) / 100003
+    d = spark.range(3000).select("id", draw(0).alias("a"), F.round(draw(1), 1).alias("b"), draw(2).alias("c"), F.lit(0.0).alias("same"), (F.col("id") % 4 == 0).alias("held"))
+    d = d.withColumn("label", (F.col("a") + F.col("b") * F.col("c") + draw(3) / 2 > 1).cast("double")).cache()
+    trees = GBTClassifier(maxIter=40, maxDepth=5, stepSize=0.1, subsamplingRate=1.0, featureSubsetStrategy="1.0", minInstancesPerNode=5, seed=1, validationIndicatorCol="held")
+    names = ["a", "b", "c", "same"]
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(d)
+    mine, theirs = boosting.fit(trees, d.select(*names, "label", "held"), names), trees.fit(rows)
+    prob = lambda m: [r.probability[1] for r in m.transform(rows).orderBy("id").select("probability").collect()]
+    assert mine.getNumTrees == theirs.getNumTrees > 5 and prob(mine) == pytest.approx(prob(theirs), abs=1e-9)
+    assert list(mine.featureImportances.toArray()) == pytest.approx(list(theirs.featureImportances.toArray()), abs=1e-9)
+
+    h = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000
+    x = spark.range(600).select(F.concat(F.lit("S1-"), F.col("id").cast("string")).alias("s1_id"), h.alias("h"), *(h.alias(c) for c in features.FEATURES)).filter("h < 0.4 or h > 0.6")
+    x = model.split(x.withColumn("label", (F.col("h") > 0.5).cast("double")))
+    spark.sparkContext.setJobGroup("training", "")
+    try:
+        n = model.train(x).stages[1].getNumTrees
+        assert n > 20 and 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("training")) < 2 * n
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_parts_resume(spark, tmp_path):
     schema = "country string, chunk int, s1_id string"
     all_parts = spark.createDataFrame([("US", 0, "a"), ("US", 1, "b"), ("FR", 0, "c")], schema)
