@@ -298,10 +298,15 @@ def model_split(spark, d):
     return model.split(e).select("s1_id", "part", F.col("quality").cast("int").alias("label"))
 
 
+def labelled(spark, d):
+    """Candidates with every feature, labelled by the silver truth, and their parts."""
+    m = matching(spark, d)
+    return model.split(model.label(m.featured, adapters.linked(m.described, spark, d)))
+
+
 def gbt_scores(spark, d):
     """Probabilities of boosted trees, learned from the silver truth."""
-    m = matching(spark, d)
-    data = model.split(model.label(m.featured, metrics.links(adapters.truth(spark, d)))).persist()
+    data = labelled(spark, d).persist()
     fitted = model.train(data)
     return model.apply(fitted, data).select("s1_id", "target_id", "part", "label", F.round(F.col("prob").cast("double"), 6).alias("prob"))
 

@@ -6,8 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import boosting, features, model, scoring
-from tessella.plans import catalog
+from tessella.operators import boosting, features, metrics, model, scoring
+from tessella.plans import adapters, catalog
 from tessella.sources import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -48,6 +48,26 @@ def test_pairs_are_compared_once(spark):
     assert "array_intersect" not in m.featured._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_labels_need_no_list_of_links(spark, tmp_path):
+    """Candidates are labelled as the truth's links would, which grow with the square of a name's records and aren't made."""
+    data = catalog.labelled(spark, DATA)
+    links = {(r.s1_id, r.target_id) for r in metrics.links(adapters.truth(spark, DATA)).collect()}
+    rows = data.select("s1_id", "target_id", "label").collect()
+    assert {r.label for r in rows} == {0.0, 1.0} and all(r.label == ((r.s1_id, r.target_id) in links) for r in rows)
+    plan = data._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "explode" not in plan
+
+    names = ["A name that is long enough"] * 40 + ["Short"] * 4 + ["Another name of some length", "a name that is: LONG enough"]
+    docs = [(i, f"{n}. {i}", "de" if i % 5 == 4 else "en") for i, n in enumerate(names)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = [r[0] for r in adapters.records(spark, str(tmp_path)).select("entity_id").collect()]
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a[1] == "1" != b[1]], "s1_id string, target_id string")
+    both = (adapters.linked(pairs, spark, str(tmp_path)), metrics.links(adapters.truth(spark, str(tmp_path))))
+    got, want = (sorted((r.s1_id, r.target_id) for r in x.collect()) for x in both)
+    assert got == want and len(got) > 100
+
+
 def test_entry_without_optional_parts(tmp_path):
     """The entry module still imports where the optional subpackage and the pipeline are gone."""
     root = Path(__file__).resolve().parent.parent
